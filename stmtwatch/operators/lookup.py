@@ -42,6 +42,8 @@ def lookup_join(
     """
     if fits_broadcast(right, max_bytes):
         return left.join(F.broadcast(right), keys, "left")
+    if left.isStreaming:
+        return left.join(right.hint("merge"), keys, "left")
 
     hot_keys = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     hot_keys = hot_keys.dropna(subset=keys).select(*keys)
