@@ -172,7 +172,8 @@ def upsert_alert_groups(spark, sf_dir):
 @query
 def upsert_allowlist(spark, sf_dir):
     path = storage.scratch_folder(spark)
-    storage.write_part(context(spark).allowlist, path, "job-first")
+    first = tables.conform(spark.sql(demo.ALLOWLIST_SQL), tables.schemas.ALLOWLIST)
+    storage.write_part(first, path, "job-first")
     new = le.learned(scored_log(spark, sf_dir))
     sinks.upsert_allowlist(new, path)
     sinks.upsert_allowlist(new, path)
@@ -395,7 +396,7 @@ def match_alert_group(spark, sf_dir):
 
 @query
 def learn_anti(spark, sf_dir):
-    return le.learn_anti(le.learned(scored_log(spark, sf_dir)), context(spark).allowlist)
+    return le.learn_anti(le.learned(scored_log(spark, sf_dir)), spark.sql(demo.ALLOWLIST_SQL))
 
 
 # --- alerts and learning ------------------------------------------------------------------------
@@ -436,7 +437,7 @@ def learned_patterns(spark, sf_dir):
 
 @query
 def merge_allowlist(spark, sf_dir):
-    return le.merge_allowlist(context(spark).allowlist, le.learned(scored_log(spark, sf_dir)))
+    return le.merge_allowlist(spark.sql(demo.ALLOWLIST_SQL), le.learned(scored_log(spark, sf_dir)))
 
 
 def _expired(policies: DataFrame) -> DataFrame:

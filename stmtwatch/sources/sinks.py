@@ -9,7 +9,7 @@ from stmtwatch import schemas
 from stmtwatch.operators.alerts import alert_groups
 from stmtwatch.operators.learning import LIST_KEYS, learn_anti
 from stmtwatch.sources.storage import new_part, write_part, write_version
-from stmtwatch.sources.tables import conform, read_alert_groups, read_allowlist
+from stmtwatch.sources.tables import conform, read_alert_groups, stored_allowlist
 from stmtwatch.sources import storage
 
 
@@ -31,7 +31,7 @@ def upsert_alert_groups(alert_rows: DataFrame, path: str, part: str | None = Non
 def upsert_allowlist(new: DataFrame, path: str, part: str | None = None) -> None:
     """Add the learned patterns that are not stored yet, with permission 1."""
     part = part or new_part()
-    stored = read_allowlist(new.sparkSession, path, besides=part)
+    stored = stored_allowlist(new.sparkSession, path, besides=part)
     added = learn_anti(new.select(*LIST_KEYS), stored).withColumn("perm", F.lit(1))
     write_part(conform(added, schemas.ALLOWLIST), path, part)
 
@@ -46,4 +46,5 @@ def compact_alert_groups(spark, path: str) -> None:
 
 
 def compact_allowlist(spark, path: str) -> None:
-    storage.compact(read_allowlist(spark, path).dropDuplicates(LIST_KEYS), path)
+    stored = stored_allowlist(spark, path).groupBy(*LIST_KEYS).agg(F.max("perm").alias("perm"))
+    storage.compact(conform(stored, schemas.ALLOWLIST), path)

@@ -100,15 +100,20 @@ def usable_allowlist(stored: DataFrame) -> DataFrame:
     return stored.filter((F.col("perm") > 0) & (F.length("query") > 0))
 
 
-def read_allowlist(spark: SparkSession, path: str, besides: str | None = None) -> DataFrame:
-    """Allowlist rows that count: with a permission and a pattern. `besides` names one part of the
-    stored table to leave out."""
+def stored_allowlist(spark: SparkSession, path: str, besides: str | None = None) -> DataFrame:
+    """All stored rows, also those without permission. `besides` names one part of the table to
+    leave out."""
     if not part_exists(spark, path):
         return spark.createDataFrame([], schemas.ALLOWLIST)
     stored = spark.read.parquet(path)
     if besides is not None and "part" in stored.columns:
         stored = stored.filter(F.col("part").cast("string") != besides)
-    return usable_allowlist(conform(stored, schemas.ALLOWLIST))
+    return conform(stored, schemas.ALLOWLIST)
+
+
+def read_allowlist(spark: SparkSession, path: str, besides: str | None = None) -> DataFrame:
+    """Allowlist rows that count: with a permission and a pattern."""
+    return usable_allowlist(stored_allowlist(spark, path, besides))
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
