@@ -86,6 +86,10 @@ def _word(words: str) -> str:
     return rf" (?:{words})(?= )"
 
 
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _run(stop: str, token: str = r"\S+") -> str:
     """Tokens up to a stop word."""
     return rf"(?: (?!(?:{stop}) ){token})*+"
@@ -108,18 +112,22 @@ def outline(toks: Column) -> Column:
     def letter(token: Column) -> Column:
         first = F.substring(token, 1, 1)
         name = F.translate(F.regexp_replace(token, r"^`|(?<=[\s\S])`\z", ""), _SPECIAL, _STAND_INS)
+        # The most frequent tokens come first: words, then punctuation.
         return (
-            F.when(first.between("0", "9") | (first == "@"), "0")
-            .when(first.isin("'", '"'), F.when(token.isin("''", '""', "'", '"'), "'").otherwise('"'))
+            F.when(
+                first.between("a", "z") | first.between("A", "Z") | (first == "_"),
+                F.when(token.endswith("'"), "0").otherwise(token),
+            )
+            .when(token.isin("(", ")", ",", ".", "*", ";"), token)
             .when(token.isin(*_COMPARISONS), "=")
+            .when(first.between("0", "9") | (first == "@"), "0")
+            .when(first.isin("'", '"'), F.when(token.isin("''", '""', "'", '"'), "'").otherwise('"'))
             .when((first == "#") | token.startswith("/*") | token.startswith("--"), "#")
             .when(first == "`", F.concat(F.lit(":"), name))
             .when(token == "||", "or")
             .when(token == "&&", "and")
-            .when(first.isin("+", "-", "~", "!", "%", "/", "|", "&", "^", "<", ">"), "+")
-            .when((first == ".") & (F.length(token) > 1), "0")
-            .when(first.isin("b", "B") & token.endswith("'"), "0")
-            .otherwise(token)
+            .when(first == ".", "0")
+            .otherwise("+")
         )
 
     return F.concat(F.lit(" "), F.array_join(F.transform(toks, letter), " "), F.lit(" "))
@@ -166,52 +174,90 @@ def has_union(counted: Column) -> Column:
     return counted.rlike(r"(?i) union(?: |$)")
 
 
-def named(outlined: Column, first_word: Column) -> Column:
-    """The outline of the first select, update or delete of the text with its names marked; empty
-    for other statements, of which too few words count."""
-    statement = _replace(
+def _has_word(text: Column, words: str) -> Column:
+    return text.rlike("(?i)" + _word(words))
+
+
+def statement(outlined: Column, first_word: Column) -> Column:
+    """The outline of the first select, update or delete of the text, without comments and words
+    of no weight; empty for other statements, of which too few words count."""
+    unusual = _has_word(outlined, rf"#|;|version|{_NOISE}")
+    cut = _replace(
         outlined,
         (r" #(?= )", ""),
         (r"(?s) ;.*", " "),
         (r" version \( \)(?= )", f" :version{_VERSION_CALL}"),
         (_word(_NOISE), ""),
-        (rf"(?<= )(?!(?:{_KEYWORDS}) )([a-z_])(?=\S* )", ":$1"),
     )
-    return F.when(first_word.isin("select", "update", "delete"), statement).otherwise("")
+    whole = F.when(unusual, cut).otherwise(outlined)
+    return F.when(first_word.isin("select", "update", "delete"), whole).otherwise("")
+
+
+def named(stated: Column) -> Column:
+    """The outline with its names marked."""
+    return _replace(stated, (rf"(?<= )(?!(?:{_KEYWORDS}) )([a-z_])(?=\S* )", ":$1"))
 
 
 def has_bruteforce_fn(names: Column, dialect: Column, rules: CompiledRules) -> Column:
-    calls = F.regexp_extract_all(names, F.lit(r" :(\S+)(?= \()"), F.lit(1))
+    calls = F.when(
+        F.contains(names, F.lit("(")), F.regexp_extract_all(names, F.lit(r" :(\S+)(?= \()"), F.lit(1))
+    )
     return F.exists(calls, lambda name: matches(rules, "bruteforce functions", dialect, name))
 
 
 def starred_tables(names: Column) -> Column:
     """The `t` of every `t.*`."""
-    return F.regexp_extract_all(names, F.lit(r" :(\S+?)(?:\.| \.) \*(?= )"), F.lit(1))
+    starred = F.regexp_extract_all(names, F.lit(r" :(\S+?)(?:\.| \.) \*(?= )"), F.lit(1))
+    return F.when(F.contains(names, F.lit(". *")), starred).otherwise(_no_names())
+
+
+def _true_constants(dialect: Column, rules: CompiledRules, use) -> Column:
+    """`use(regex)` with the regex of the row's dialect, or null."""
+    result = F.when(F.lit(False), use("(?!)"))
+    for name in sorted({d for d, category in rules if category == "true constants"}):
+        listed = rules[(name, "true constants")].removeprefix("^").removesuffix("$")
+        result = result.when(dialect == name, use(rf" :{listed}(?= )"))
+    return result
 
 
-def reduced(names: Column, dialect: Column, rules: CompiledRules) -> Column:
-    """The named outline without aliases, function names and the varieties of comparison."""
-    text = _replace(
-        names,
+def compared_alike(names: Column) -> Column:
+    """The named outline with one sign for all comparisons, IN included."""
+    return _replace(
+        names, (r" (?:not )?(?:=|(?::sounds )?like|rlike|regexp|is not|is|in)(?= )", " =")
+    )
+
+
+def simplified(text: Column) -> Column:
+    """Without the less frequent words: constants by name, qualifiers, AS, EXISTS, kinds of join."""
+    words = r"null|true|false|\.|not|as|exists|cast|binary|left|right|inner|outer|natural|cross"
+    plain = _replace(
+        text,
         (_word("null|true|false"), " 0"),
         (r" (:\S+) \. :(?=\S)", f" $1{_QUALIFIED}"),
-        (r" (?:not )?(?:=|(?::sounds )?like|rlike|regexp|is not|is|in)(?= )", " ="),
         (_word("not"), ""),
         (r" as [^ ()]+(?: \( [^()]*\))?(?= )", ""),
-        (r" :\S+ \( (?:\* )?\)(?= )", " @"),
-        (r" :\S+(?= \( )", ""),
         (_word("exists|cast|binary"), " !"),
         (_word("left|right|inner|outer|natural|cross"), ""),
+    )
+    return F.when(_has_word(text, words), plain).otherwise(text)
+
+
+def reduced(text: Column) -> Column:
+    """Without function names, aliases and repeated constants in lists."""
+    called = _replace(text, (r" :\S+ \( (?:\* )?\)(?= )", " @"), (r" :\S+(?= \( )", ""))
+    unaliased = _replace(
+        F.when(F.contains(text, F.lit("(")), called).otherwise(text),
         (rf"({_OPERAND}) (?::\S+|[\"'])(?= )", "$1"),
         (rf" ({_CONSTANT})(?: , \1(?= ))++", " $1"),
     )
-    result = None
-    for name in sorted({d for d, category in rules if category == "true constants"}):
-        constant = rules[(name, "true constants")].removeprefix("^").removesuffix("$")
-        value = _replace(text, (rf" :{constant}(?= )", " @"))
-        result = F.when(dialect == name, value) if result is None else result.when(dialect == name, value)
-    return text if result is None else result.otherwise(text)
+    return unaliased
+
+
+def with_constants(text: Column, dialect: Column, rules: CompiledRules) -> Column:
+    """Names that stand for constants count as such."""
+    replaced = _true_constants(dialect, rules, lambda listed: _replace(text, (listed, " @")))
+    listed = _true_constants(dialect, rules, lambda listed: text.rlike("(?i)" + listed))
+    return F.when(listed, replaced).otherwise(text)
 
 
 # A CASE without parentheses and other CASEs inside.
@@ -254,7 +300,7 @@ def flattened(text: Column) -> Column:
     nest. The first round that finds nothing to do closes the state; later ones return it as it is.
     """
     rounds = F.regexp_count(text, F.lit(rf"(?i) (?:\(|case|{_INNER_CLAUSE})(?= )"))
-    nothing = F.array().cast("array<string>")
+    nothing = _no_names()
 
     def state_of(text: Column, before: Column, selects: Column, cases: Column, is_open: bool) -> Column:
         return F.struct(

@@ -33,14 +33,19 @@ def lookup_join(
     keys: list[str],
     max_bytes: int = MAX_BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """`left` joined with `right`, whose keys are unique; every row of `left` stays.
 
+    `small` says whether the right side is known to fit a broadcast; it is measured otherwise.
+
     A right side measured to be small is broadcast and the log is not shuffled. Else the keys that
     occur often in the log are counted first: their rows meet the few matching right rows by
     broadcast, all other rows by a shuffled join in which no key is hot.
     """
-    if fits_broadcast(right, max_bytes):
+    if small is None:
+        small = fits_broadcast(right, max_bytes)
+    if small:
         return left.join(F.broadcast(right), keys, "left")
     if left.isStreaming:
         return left.join(right.hint("merge"), keys, "left")

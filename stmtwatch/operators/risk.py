@@ -17,7 +17,12 @@ from stmtwatch.config import (
     RiskWeights,
 )
 from stmtwatch.functions import signals as S
-from stmtwatch.operators.lookup import computed_once
+from stmtwatch.operators.lookup import (
+    MAX_BROADCAST_BYTES,
+    computed_once,
+    fits_broadcast,
+    lookup_join,
+)
 from stmtwatch.operators.privileged import privileged_reason
 from stmtwatch.sources.rules import CompiledRules
 
@@ -51,9 +56,13 @@ def outline_flags(df: DataFrame, rules: CompiledRules) -> DataFrame:
     """Add the flags that follow from the outline alone: all but `has_separator`."""
     dialect = F.col("db_type")
     staged = (
-        df.withColumn("_names", S.named(F.col("outline"), F.col("verb")))
-        .withColumn("_reduced", S.reduced(F.col("_names"), dialect, rules))
-        .withColumn("_flat", S.flattened(F.col("_reduced")))
+        df.withColumn("_stated", S.statement(F.col("outline"), F.col("verb")))
+        .withColumn("_names", S.named(F.col("_stated")))
+        .withColumn("_alike", S.compared_alike(F.col("_names")))
+        .withColumn("_simple", S.simplified(F.col("_alike")))
+        .withColumn("_reduced", S.reduced(F.col("_simple")))
+        .withColumn("_known", S.with_constants(F.col("_reduced"), dialect, rules))
+        .withColumn("_flat", S.flattened(F.col("_known")))
         .withColumn("_tables", F.concat(S.tables(F.col("_flat.selects")), S.starred_tables(F.col("_names"))))
         .withColumn("_compared", S.comparisons(F.col("_flat.selects"), F.col("_flat.cases")))
     )
@@ -79,6 +88,23 @@ def with_signals(
     return flagged.withColumn("has_separator", separator).select(*df.columns, *S.FLAGS)
 
 
+def with_signals_once(
+    df: DataFrame, rules: CompiledRules, only: Column, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """The same, but equal texts are analysed once: the flags of the distinct texts are joined back.
+
+    Worth its extra pass over the log where texts repeat, literals included. The distinct texts
+    are found by a partial aggregate, so even a text that makes up a third of the log reaches the
+    shuffle once per task.
+    """
+    keys = ["db_type", "query"]
+    texts = df.filter(only).select(*keys).distinct()
+    flagged = with_signals(texts, rules)
+    joined = lookup_join(df, flagged, keys, small=fits_broadcast(texts, max_bytes))
+    flags = [F.coalesce(F.when(only, F.col(f)), F.lit(False)).alias(f) for f in S.FLAGS]
+    return joined.select(*df.columns, *flags)
+
+
 def risk_score(weights: RiskWeights) -> Column:
     total = F.lit(0)
     for flag, key, _ in SIGNALS:

@@ -352,6 +352,13 @@ def verdicts(spark, sf_dir):
     )
 
 
+@query
+def verdicts_deduplicated(spark, sf_dir):
+    """The same verdicts, with equal texts analysed once."""
+    scored = score_log(demo.query_log(spark, sf_dir), context(spark), deduplicate=True)
+    return scored.select("seq", "risk", "allowed", "alert_level", "learn")
+
+
 # --- joins --------------------------------------------------------------------------------------
 
 

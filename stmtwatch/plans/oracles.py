@@ -272,6 +272,7 @@ select conn_id, arg_max(set_user, seq) filter (set_user is not null) as carried_
     "verdicts": _chained(
         "select seq, listed, not listed and privileged as privileged, risk, allowed, alert, alert_level, learn, group_status from verdict"
     ),
+    "verdicts_deduplicated": _chained("select seq, risk, allowed, alert_level, learn from verdict"),
     "policy_catalog": (
         f"select p.dbpid, p.proxy_id, p.db_name, e.dbtype as db_type from ({demo.CUSTOMER_POLICY_SQL}) p "
         f"join ({demo.SUPPLIER_ENDPOINT_SQL}) e on p.proxy_id = e.proxy_id"

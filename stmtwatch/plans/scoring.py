@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stmtwatch.config import RiskWeights
-from stmtwatch.functions.fingerprint import fingerprint
+from stmtwatch.functions.fingerprint import with_pattern
 from stmtwatch.operators.lookup import computed_once
 from stmtwatch.operators.policy import in_allowlist, resolve_policy
 from stmtwatch.operators.privileged import any_privileged, privileged_columns
-from stmtwatch.operators.risk import reason_text, risk_score, verdict_columns, with_signals
+from stmtwatch.operators.risk import reason_text, risk_score, verdict_columns, with_signals, with_signals_once
 from stmtwatch.operators.session import command_to_sql, inspectable
 from stmtwatch.sources.rules import CompiledRules
 
@@ -32,12 +32,12 @@ class ScoringContext:
 def prepare(log: DataFrame, context: ScoringContext) -> DataFrame:
     """Inspectable statements with pattern, policy and allowlist flag."""
     statements = inspectable(command_to_sql(log))
-    patterned = computed_once(statements, pattern=fingerprint(F.col("query")))
-    resolved = resolve_policy(patterned, context.policies, context.endpoints)
+    patterned = computed_once(with_pattern(statements, out="_pattern"), pattern=F.col("_pattern"))
+    resolved = resolve_policy(patterned.drop("_pattern"), context.policies, context.endpoints)
     return in_allowlist(resolved, context.allowlist)
 
 
-def judge(flagged: DataFrame, context: ScoringContext) -> DataFrame:
+def judge(flagged: DataFrame, context: ScoringContext, deduplicate: bool = False) -> DataFrame:
     """Rule classes, signals, score and verdict.
 
     Listed statements, nearly all of them once learning is over, skip the rules and the signals:
@@ -48,14 +48,17 @@ def judge(flagged: DataFrame, context: ScoringContext) -> DataFrame:
     classed = computed_once(
         flagged, **{n: F.when(unlisted, c).otherwise(F.lit(False)) for n, c in classes.items()}
     )
-    signalled = with_signals(
-        classed.withColumn("privileged", any_privileged(classed)), context.rules, only=unlisted
-    )
+    classed = classed.withColumn("privileged", any_privileged(classed))
+    analyse = with_signals_once if deduplicate else with_signals
+    signalled = analyse(classed, context.rules, only=unlisted)
     reason = F.when(unlisted, reason_text(signalled, context.weights)).otherwise("")
     scored = computed_once(signalled, risk=risk_score(context.weights), reason=reason)
     return computed_once(scored, **verdict_columns(context.weights))
 
 
-def score_log(log: DataFrame, context: ScoringContext) -> DataFrame:
-    """Score every statement of a query log, batch or stream, against policies and rules."""
-    return judge(prepare(log, context), context)
+def score_log(log: DataFrame, context: ScoringContext, deduplicate: bool = False) -> DataFrame:
+    """Score every statement of a query log, batch or stream, against policies and rules.
+
+    `deduplicate` (batch only) analyses equal texts once.
+    """
+    return judge(prepare(log, context), context, deduplicate)
