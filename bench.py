@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from stmtwatch.plans import catalog, demo
 from stmtwatch.plans.scoring import score_log
 from stmtwatch.sources import storage
 
-RUNS = 2
+RUNS = 1
 
 
 def session() -> SparkSession:
@@ -74,6 +75,9 @@ def main() -> None:
         "fingerprint_probes": lambda: with_pattern(probes),
         "fingerprint_counts": lambda: with_pattern(log).groupBy("pattern").count(),
         "signal_probes": lambda: rk.with_signals(probes, fresh.rules).select("seq", *S.FLAGS),
+        "signal_probes_by_outline": lambda: rk.with_signals_by_outline(
+            probes, fresh.rules
+        ).select("seq", *S.FLAGS),
         "verdicts_none_listed": lambda: score_log(log, catalog.context(
             spark, allowlist=fresh.allowlist.filter("perm < 0")
         )),
@@ -86,14 +90,16 @@ def main() -> None:
     }
     times, rates = {}, {}
     sizes = {"fingerprint": log, "fingerprint_probes": probes, "signal_probes": probes,
+             "signal_probes_by_outline": probes,
              "verdicts_none_listed": log, "verdicts_all_listed": log, "verdicts_deduplicated": log}
     for name, build in queries.items():
         taken = []
-        for _ in range(RUNS + 1):  # the first run warms up
+        for _ in range(1 if name.endswith("stream") else RUNS + 1):  # the first run warms up
             start = time.perf_counter()
             run(build())
             taken.append(time.perf_counter() - start)
-        times[name] = round(statistics.median(taken[1:]), 3)
+        times[name] = round(statistics.median(taken[1:] or taken), 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     for name, source in sizes.items():
         rates[name] = round(source.count() / times[name])
     print(json.dumps({

@@ -17,14 +17,10 @@ from stmtwatch.config import (
     RiskWeights,
 )
 from stmtwatch.functions import signals as S
-from stmtwatch.operators.lookup import (
-    MAX_BROADCAST_BYTES,
-    computed_once,
-    fits_broadcast,
-    lookup_join,
-)
+from stmtwatch.operators.lookup import computed_once, lookup_join
 from stmtwatch.operators.privileged import privileged_reason
 from stmtwatch.sources.rules import CompiledRules
+from stmtwatch.sources.storage import scratch_folder
 
 # Flag, weight and reason line, in their order.
 SIGNALS = (
@@ -88,21 +84,33 @@ def with_signals(
     return flagged.withColumn("has_separator", separator).select(*df.columns, *S.FLAGS)
 
 
-def with_signals_once(
-    df: DataFrame, rules: CompiledRules, only: Column, max_bytes: int = MAX_BROADCAST_BYTES
+def with_signals_by_outline(
+    df: DataFrame, rules: CompiledRules, only: Column | None = None, col: str = "query"
 ) -> DataFrame:
-    """The same, but equal texts are analysed once: the flags of the distinct texts are joined back.
+    """The same flags, but each distinct outline is analysed once and its flags are joined back.
 
-    Worth its extra pass over the log where texts repeat, literals included. The distinct texts
-    are found by a partial aggregate, so even a text that makes up a third of the log reaches the
-    shuffle once per task.
+    Statements of one shape share their outline whatever their literals, so a log of any size has
+    few. They are found by a partial aggregate: an outline that makes up a third of the log reaches
+    the shuffle once per task. The analysed outlines are written to the shared folder, which runs
+    a job now; their size is measured there before they are broadcast.
     """
-    keys = ["db_type", "query"]
-    texts = df.filter(only).select(*keys).distinct()
-    flagged = with_signals(texts, rules)
-    joined = lookup_join(df, flagged, keys, small=fits_broadcast(texts, max_bytes))
-    flags = [F.coalesce(F.when(only, F.col(f)), F.lit(False)).alias(f) for f in S.FLAGS]
-    return joined.select(*df.columns, *flags)
+    keys = ["db_type", "outline"]
+    rows = with_tokens(df, col, only)
+    known = ["db_type", "outline", "verb", "counted"]
+    distinct = rows.select(*keys).filter(F.col("outline").isNotNull()).distinct()
+    shapes = distinct.withColumn("verb", S.verb(F.col("outline"))).withColumn(
+        "counted", S.window(F.col("outline"), F.col("verb"))
+    )
+    flags = [f for f in S.FLAGS if f != "has_separator"]
+    path = scratch_folder(df.sparkSession)
+    outline_flags(shapes.select(*known), rules).select(*keys, *flags).write.parquet(path)
+    analysed = df.sparkSession.read.parquet(path)
+    joined = lookup_join(rows, analysed, keys)
+    values = {f: F.coalesce(F.col(f), F.lit(False)) for f in flags}
+    separator = F.coalesce(S.has_separator(F.col(col), F.col("counted")), F.lit(False))
+    return computed_once(joined, has_separator=separator).withColumns(values).select(
+        *df.columns, *S.FLAGS
+    )
 
 
 def risk_score(weights: RiskWeights) -> Column:

@@ -325,6 +325,13 @@ def signal_probes(spark, sf_dir):
     return rk.with_signals(log, context(spark).rules).select("seq", *S.FLAGS)
 
 
+@query
+def signal_probes_by_outline(spark, sf_dir):
+    """The same flags, with statements of one shape analysed once."""
+    log = demo.probe_log(spark, sf_dir)
+    return rk.with_signals_by_outline(log, context(spark).rules).select("seq", *S.FLAGS)
+
+
 @query
 def risk_scores(spark, sf_dir):
     flagged = rk.with_signals(statements(spark, sf_dir), context(spark).rules)
@@ -354,7 +361,7 @@ def verdicts(spark, sf_dir):
 
 @query
 def verdicts_deduplicated(spark, sf_dir):
-    """The same verdicts, with equal texts analysed once."""
+    """The same verdicts, with statements of one shape analysed once."""
     scored = score_log(demo.query_log(spark, sf_dir), context(spark), deduplicate=True)
     return scored.select("seq", "risk", "allowed", "alert_level", "learn")
 

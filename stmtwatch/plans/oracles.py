@@ -261,6 +261,7 @@ select conn_id, arg_max(set_user, seq) filter (set_user is not null) as carried_
     ),
     "signal_flags": _chained(f"select seq, {', '.join(_FLAGS)} from signalled"),
     "signal_probes": f"select seq, {', '.join(_FLAGS)} from ({demo.EXPECTED_PROBES_SQL})",
+    "signal_probes_by_outline": f"select seq, {', '.join(_FLAGS)} from ({demo.EXPECTED_PROBES_SQL})",
     "risk_scores": _chained(
         "select seq, points as risk, case when points >= 30 then 'block' when points >= 20 then 'warn' else 'low' end as band from points"
     ),

@@ -12,7 +12,7 @@ from stmtwatch.functions.fingerprint import with_pattern
 from stmtwatch.operators.lookup import computed_once
 from stmtwatch.operators.policy import in_allowlist, resolve_policy
 from stmtwatch.operators.privileged import any_privileged, privileged_columns
-from stmtwatch.operators.risk import reason_text, risk_score, verdict_columns, with_signals, with_signals_once
+from stmtwatch.operators.risk import reason_text, risk_score, verdict_columns, with_signals, with_signals_by_outline
 from stmtwatch.operators.session import command_to_sql, inspectable
 from stmtwatch.sources.rules import CompiledRules
 
@@ -49,7 +49,7 @@ def judge(flagged: DataFrame, context: ScoringContext, deduplicate: bool = False
         flagged, **{n: F.when(unlisted, c).otherwise(F.lit(False)) for n, c in classes.items()}
     )
     classed = classed.withColumn("privileged", any_privileged(classed))
-    analyse = with_signals_once if deduplicate else with_signals
+    analyse = with_signals_by_outline if deduplicate else with_signals
     signalled = analyse(classed, context.rules, only=unlisted)
     reason = F.when(unlisted, reason_text(signalled, context.weights)).otherwise("")
     scored = computed_once(signalled, risk=risk_score(context.weights), reason=reason)
@@ -59,6 +59,7 @@ def judge(flagged: DataFrame, context: ScoringContext, deduplicate: bool = False
 def score_log(log: DataFrame, context: ScoringContext, deduplicate: bool = False) -> DataFrame:
     """Score every statement of a query log, batch or stream, against policies and rules.
 
-    `deduplicate` (batch only) analyses equal texts once.
+    `deduplicate` (batch only) analyses statements of one shape once, in a job of its own that
+    runs now. It reads the log twice, which costs little against the analysis of every row.
     """
     return judge(prepare(log, context), context, deduplicate)
