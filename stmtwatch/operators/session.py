@@ -68,10 +68,13 @@ def with_session_context(
     `carried(conn_id, carried_user, carried_db)` holds the values from before the log, if any.
     """
     events = session_events(log).withColumn("_block", F.floor(F.col("seq") / block))
-    blocks = events.groupBy("conn_id", "_block").agg(
+    # Only the few rows that set something are sorted for the last value of a block.
+    setting = events.filter(F.col("_user").isNotNull() | F.col("_db").isNotNull())
+    last = setting.groupBy("conn_id", "_block").agg(
         F.max_by("_user", F.when(F.col("_user").isNotNull(), F.col("seq"))).alias("_last_user"),
         F.max_by("_db", F.when(F.col("_db").isNotNull(), F.col("seq"))).alias("_last_db"),
     )
+    blocks = events.select("conn_id", "_block").distinct().join(last, ["conn_id", "_block"], "left")
     earlier = W.partitionBy("conn_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.select(
         "conn_id",
@@ -108,12 +111,16 @@ def with_session_context(
 def session_state(log: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """The last user and database of each connection that is still open after the log."""
     events = session_events(log).select("conn_id", "seq", "command", "_user", "_db")
-    last = events.groupBy("conn_id").agg(
+    setting = events.filter(F.col("_user").isNotNull() | F.col("_db").isNotNull())
+    values = setting.groupBy("conn_id").agg(
         F.max_by("_user", F.when(F.col("_user").isNotNull(), F.col("seq"))).alias("last_user"),
         F.max_by("_db", F.when(F.col("_db").isNotNull(), F.col("seq"))).alias("last_db"),
+    )
+    seen = events.groupBy("conn_id").agg(
         F.max(F.when(F.col("command") == "quit", F.col("seq"))).alias("quit_at"),
         F.max("seq").alias("seen_at"),
     )
+    last = seen.join(values, "conn_id", "left")
     if carried is not None:
         last = last.join(carried, "conn_id", "full")
         user = F.coalesce("last_user", "carried_user")

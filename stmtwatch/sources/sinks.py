@@ -14,9 +14,10 @@ from stmtwatch.sources import storage
 
 
 def write_alerts(alert_rows: DataFrame, path: str, part: str | None = None) -> None:
-    """Store alerts in folders by day."""
+    """Store alerts in folders by day. The rows are rebalanced first: few files for a quiet day,
+    many for a busy one."""
     dated = alert_rows.select(*schemas.ALERTS.fieldNames(), F.to_date("event_time").alias("event_date"))
-    write_part(dated, path, part or new_part(), ("event_date",))
+    write_part(dated.hint("rebalance", "event_date"), path, part or new_part(), ("event_date",))
 
 
 def upsert_alert_groups(alert_rows: DataFrame, path: str, part: str | None = None) -> None:

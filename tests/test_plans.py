@@ -1,6 +1,7 @@
 """Shape of the physical plan: what is shuffled, broadcast, pushed down and evaluated once."""
 
 from stmtwatch.operators import alerts as al
+from stmtwatch.operators.session import with_session_context
 from stmtwatch.plans import catalog, demo
 from stmtwatch.plans.scoring import score_log
 from stmtwatch.sources.storage import scratch_folder
@@ -59,3 +60,8 @@ def test_groups_are_aggregated_before_the_shuffle(spark, sf_dir):
     raised = al.alerts(score_log(_stored_log(spark, sf_dir), catalog.context(spark)))
     plan = _plan(al.alert_groups(raised))
     assert "partial_max" in plan
+
+
+def test_session_context_shuffles_the_log_once(spark, sf_dir):
+    spine = _spine(with_session_context(demo.session_log(spark, sf_dir)))
+    assert spine.count("Exchange") == 1 and spine.count("Window") == 1
