@@ -15,7 +15,7 @@ def _spine(df) -> list[str]:
     """The operators between the result and the scan of the log."""
     node = df._jdf.queryExecution().executedPlan()
     if node.nodeName() == "AdaptiveSparkPlan":
-        node = node.inputPlan()
+        node = node.executedPlan()
     names = []
     while True:
         names.append(node.nodeName())
