@@ -148,7 +148,7 @@ def rule_matches(spark, sf_dir):
 @query
 def write_alerts(spark, sf_dir):
     path = storage.scratch_folder(spark)
-    sinks.write_alerts(al.alerts(scored_log(spark, sf_dir)), path)
+    sinks.write_alerts(al.alerts(scored_log(spark, sf_dir)), path, period="year")
     return naive(tables.read_alerts(spark, path).select(
         "event_time", "risk", "block", "dbuser", "userip", "query", "reason"
     ))
@@ -468,14 +468,14 @@ def expire_learning(spark, sf_dir):
 # --- streaming ----------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, log: DataFrame, files: int, sessions: bool = False) -> st.Tables:
+def _streamed(spark: SparkSession, log: DataFrame, files: int) -> st.Tables:
     """Score a log as a stream of files into fresh tables."""
     root = storage.scratch_folder(spark)
     known = context(spark)
     paths = st.Tables(
         policies=f"{root}/policies", endpoints=f"{root}/endpoints", allowlist=f"{root}/allowlist",
         alerts=f"{root}/alerts", alert_groups=f"{root}/alert_groups",
-        sessions=f"{root}/sessions" if sessions else None,
+        alert_period="year",
     )
     sinks.write_policy(_without_timed_learning(known.policies), paths.policies)
     known.endpoints.write.parquet(paths.endpoints)

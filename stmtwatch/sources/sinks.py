@@ -13,10 +13,16 @@ from stmtwatch.sources.tables import conform, read_alert_groups, stored_allowlis
 from stmtwatch.sources import storage
 
 
-def write_alerts(alert_rows: DataFrame, path: str, part: str | None = None) -> None:
-    """Store alerts in folders by day. The rows are rebalanced first: few files for a quiet day,
-    many for a busy one."""
-    dated = alert_rows.select(*schemas.ALERTS.fieldNames(), F.to_date("event_time").alias("event_date"))
+def write_alerts(
+    alert_rows: DataFrame, path: str, part: str | None = None, period: str = "day"
+) -> None:
+    """Store alerts in folders by day, or by a longer period for a thin log.
+
+    The rows are rebalanced first: few files for a quiet day, many for a busy one.
+    """
+    dated = alert_rows.select(
+        *schemas.ALERTS.fieldNames(), F.to_date(F.date_trunc(period, "event_time")).alias("event_date")
+    )
     write_part(dated.hint("rebalance", "event_date"), path, part or new_part(), ("event_date",))
 
 

@@ -27,7 +27,8 @@ REFRESH = "5 seconds"
 
 @dataclass(frozen=True)
 class Tables:
-    """Where the tables live. `sessions` is only set if the log must be given its session."""
+    """Where the tables live. `sessions` is only set if the log must be given its session; alerts
+    are stored in folders of one `alert_period` each."""
 
     policies: str
     endpoints: str
@@ -35,6 +36,7 @@ class Tables:
     alerts: str
     alert_groups: str
     sessions: str | None = None
+    alert_period: str = "day"
 
 
 def score_stream(log: DataFrame, context: ScoringContext) -> DataFrame:
@@ -100,7 +102,7 @@ def score_batch(
         scored = score_log(batch, context).filter("alert or learn").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             raised = alerts(scored)
-            write_alerts(raised, tables.alerts, stream_part(batch_id))
+            write_alerts(raised, tables.alerts, stream_part(batch_id), tables.alert_period)
             upsert_alert_groups(raised, tables.alert_groups, stream_part(batch_id))
             upsert_allowlist(learned(scored), tables.allowlist, stream_part(batch_id))
         finally:
