@@ -20,6 +20,7 @@ def _path(spark: SparkSession, path: str):
 
 
 def part_exists(spark: SparkSession, path: str) -> bool:
+    """Is there a file, or a folder that is not empty?"""
     files, target = _path(spark, path)
     return files.exists(target) and len(files.listStatus(target)) > 0
 
@@ -63,7 +64,7 @@ def latest_version(spark: SparkSession, path: str) -> int | None:
     done = [
         int(name.removeprefix("version="))
         for name in _folders(spark, path, "version=")
-        if _path(spark, f"{path}/{name}/_SUCCESS")[0].exists(_path(spark, f"{path}/{name}/_SUCCESS")[1])
+        if part_exists(spark, f"{path}/{name}/_SUCCESS")
     ]
     return max(done, default=None)
 
@@ -75,6 +76,13 @@ def write_version(df: DataFrame, path: str, version: int | None = None) -> int:
     return version
 
 
+def drop_versions_before(spark: SparkSession, path: str, version: int) -> None:
+    files, _ = _path(spark, path)
+    for name in _folders(spark, path, "version="):
+        if int(name.removeprefix("version=")) < version:
+            files.delete(_path(spark, f"{path}/{name}")[1], True)
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder for intermediate tables, in the shared folder that the cluster names. A local
     temporary folder is used only where none is named, as in tests."""

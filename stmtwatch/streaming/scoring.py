@@ -18,7 +18,12 @@ from stmtwatch.operators.session import session_state, with_session_context
 from stmtwatch.plans.scoring import ScoringContext, score_log
 from stmtwatch.sources.rules import CompiledRules
 from stmtwatch.sources.sinks import upsert_alert_groups, upsert_allowlist, write_alerts
-from stmtwatch.sources.storage import latest_version, stream_part, write_version
+from stmtwatch.sources.storage import (
+    drop_versions_before,
+    latest_version,
+    stream_part,
+    write_version,
+)
 from stmtwatch.sources.tables import read_allowlist, read_endpoints, read_policies
 
 # Fixed value: how often policies and allowlist are looked at again.
@@ -75,6 +80,8 @@ def session_stream(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
     carried = _carried_sessions(batch, path, batch_id)
     shaped = with_session_context(batch, carried)
     write_version(session_state(batch, carried), path, batch_id + 1)
+    # This micro-batch may be repeated, an earlier one may not.
+    drop_versions_before(batch.sparkSession, path, batch_id)
     return shaped
 
 
