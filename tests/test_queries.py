@@ -4,8 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from stmtwatch.plans import catalog, oracles
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = catalog.QUERIES, oracles.ORACLES
 
 
 @pytest.fixture(scope="module")
