@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwatch.llm import bpe, exact_dedup, simhash
-from stmtwatch.llm.common import table
+from stmtwatch.llm import bpe, exact_dedup, mixing, simhash
+from stmtwatch.llm.common import checkpointed, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sized = checkpointed(docs.select(
+        F.monotonically_increasing_id().alias("row_id"), "doc_id", "source",
+        mixing.word_count(whole_text()).alias("size"),
+    ))
+    mixed = mixing.mix(sized, size="size")
+    return mixed.groupBy("row.row_id").agg(
+        *[F.first(c).alias(c) for c in ("row", "size", "source_size", "target")],
+        F.sum("words").alias("taken"), F.array_sort(F.array_compact(F.collect_list("shard"))).alias("shards"),
+    ).select("row.doc_id", "size", "source_size", "target", "taken", "shards")
+
+
 @query
 def op2_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
