@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwatch.llm import bpe, exact_dedup, mixing, simhash
+from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, simhash, toxicity
 from stmtwatch.llm.common import checkpointed, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,29 @@ def op10_simhash_dedup(spark, sf_dir):
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    remainder = lambda key: F.crc32(F.col(key).cast("string").cast("binary")) % 5
+    model = toxicity.fit(docs, labels, usable=remainder("_key") != 0)
+    return toxicity.with_score(docs, model).select(
+        "doc_id", (remainder("doc_id") == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op7_fertility(spark, sf_dir):
+    rules = fertility.quality_rules(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return rules.drop("left_bands")
+
+
+@query
+def op8_importance(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return importance.importance_sample(docs, labels)
+
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
