@@ -44,6 +44,11 @@ def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def bind(value: str, name: str, body: str) -> str:
+    """SQL: `body` in which `name` stands for `value`, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None) -> DataFrame:
     """`rows` joined with `groups` (one row per key, `size` rows of `rows` each).
 

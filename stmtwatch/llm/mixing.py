@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stmtwatch.llm.common import checkpointed, whole_text
+from stmtwatch.llm.common import bind, checkpointed, whole_text
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -71,11 +71,6 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 # --- the splitting tree ---------------------------------------------------------------------------
 
 
-def _bind(value: str, name: str, body: str) -> str:
-    """SQL: `body` in which `name` stands for `value`."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _log_factorial(x: str) -> str:
     return (
         f"if({x} < 17, ln(factorial(cast(greatest({x}, 0) as int))), ({x} + 0.5D) * ln({x}) - {x} + 0.9189385332046727D"
@@ -97,35 +92,35 @@ def hypergeometric(good: str, bad: str, sample: str, seed: str) -> str:
         f"aggregate(if(h.n < 1, cast(array() as array<int>), sequence(1, cast(h.n as int))), named_struct('good', {good}, 'all', h.total), (w, i) -> "
         f"named_struct('good', w.good - if({_uniform(seed, 'i')} * w.all < w.good, 1L, 0L), 'all', w.all - 1L), w -> {good} - w.good)"
     )
-    tried = _bind(
+    tried = bind(
         f"named_struct('k', i, 'u', {_uniform(seed, '2 * i')}, 'v', {_uniform(seed, '2 * i + 1')})", "t",
-        _bind(
+        bind(
             "named_struct('u', t.u, 'x', s.a + s.h * (t.v - 0.5D) / t.u)", "p",
-            "if(p.x < 0 or p.x >= s.b, named_struct('ok', false, 'k', 0L), " + _bind(
+            "if(p.x < 0 or p.x >= s.b, named_struct('ok', false, 'k', 0L), " + bind(
                 "named_struct('u', p.u, 'k', cast(floor(p.x) as bigint))", "q",
-                _bind(
+                bind(
                     f"s.g - ({terms('q.k')})", "d",
                     "named_struct('ok', q.u * (4 - q.u) - 3 <= d or (q.u * (q.u - d) < 1 and 2 * ln(q.u) <= d), 'k', q.k)",
                 ),
             ) + ")",
         ),
     )
-    shape = _bind(
+    shape = bind(
         "named_struct('mu', h.n * h.p, 'c', sqrt((h.total - h.n) * h.n * h.p * (1 - h.p) / (h.total - 1) + 0.5D), "
         "'m', cast(floor((h.n + 1D) * (h.least + 1D) / (h.total + 2D)) as bigint))", "r",
-        _bind(
+        bind(
             "named_struct('a', r.mu + 0.5D, 'h', 1.7155277699214135D * r.c + 0.8989161620588988D, 'm', r.m, "
             f"'g', {terms('r.m')}, 'b', least(least(h.n, h.least) + 1D, floor(r.mu + 0.5D + 16 * r.c)))", "s",
             f"coalesce(filter(transform(sequence(0, 63), i -> {tried}), t -> t.ok)[0].k, s.m)",
         ),
     )
-    many = _bind(shape, "k", f"if({good} > {bad}, h.n - k, k)")
+    many = bind(shape, "k", f"if({good} > {bad}, h.n - k, k)")
     drawn = f"if(h.n < 10, {one_by_one}, {many})"
-    return _bind(
+    return bind(
         f"named_struct('total', {good} + {bad}, 'n', least({sample}, {good} + {bad} - {sample}), "
         f"'least', least({good}, {bad}), 'most', greatest({good}, {bad}), 'p', least({good}, {bad}) / greatest({good} + {bad}, 1))", "h",
         f"if({sample} < 1 or {good} < 1, 0L, if({bad} < 1, {sample}, if({sample} >= h.total, {good}, "
-        + _bind(drawn, "z", f"if({sample} > h.n, {good} - z, z)") + ")))",
+        + bind(drawn, "z", f"if({sample} > h.n, {good} - z, z)") + ")))",
     )
 
 
@@ -140,7 +135,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> Data
     nodes = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "blocks"))).alias("q")).select(
         F.lit(0).cast("long").alias("node"), F.expr("transform(q, x -> x.blocks)").alias("counts"),
     ).withColumn("all", F.expr("aggregate(counts, 0L, (a, x) -> a + x)"))
-    draw = _bind(
+    draw = bind(
         hypergeometric("x", "(a.total - x)", "a.n", f"'{seed}', level, node, size(a.left)"), "l",
         "named_struct('left', concat(a.left, array(l)), 'n', a.n - l, 'total', a.total - x)",
     )
@@ -173,16 +168,16 @@ def permuted(place: str, size: str, seed: str) -> str:
     def step(x: str) -> str:
         body = f"(c.r * g.b + c.s)"
         for i in reversed(range(4)):
-            body = _bind(
+            body = bind(
                 f"named_struct('r', c.r, 's', pmod(c.s + xxhash64(c.r, {2 * i + 1}, {seed}) % g.b, g.b))", "c", body
             )
-            body = _bind(
+            body = bind(
                 f"named_struct('r', pmod(c.r + xxhash64(c.s, {2 * i}, {seed}) % g.a, g.a), 's', c.s)", "c", body
             )
-        return _bind(f"named_struct('r', {x} div g.b, 's', {x} % g.b)", "c", body)
+        return bind(f"named_struct('r', {x} div g.b, 's', {x} % g.b)", "c", body)
 
     grid = f"named_struct('a', cast(ceil(sqrt({size})) as bigint), 'b', cast(ceil({size} / ceil(sqrt({size}))) as bigint))"
-    return _bind(grid, "g", f"aggregate(sequence(1, 48), {step(place)}, (y, i) -> if(y < {size}, y, {step('y')}))")
+    return bind(grid, "g", f"aggregate(sequence(1, 48), {step(place)}, (y, i) -> if(y < {size}, y, {step('y')}))")
 
 
 def drawn_blocks(quotas: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:

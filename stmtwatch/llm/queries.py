@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, simhash, toxicity
+from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, pii, simhash, toxicity
 from stmtwatch.llm.common import checkpointed, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,16 @@ def op8_importance(spark, sf_dir):
     return importance.importance_sample(docs, labels)
 
 
+@query
+def op9_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = pii.with_spans(docs, model=pii.fit(docs))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return spans.select(
+        "doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans")
+    )
+
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),

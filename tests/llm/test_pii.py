@@ -1,0 +1,84 @@
+"""Spans against Python's re on the patterns as given."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from stmtwatch.llm import pii
+
+GIVEN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(number):
+    total = 0
+    for i, c in enumerate(reversed(number)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def valid(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    return {
+        "email": lambda: True,
+        "ip": lambda: all(int(p) <= 255 for p in value.split(".")),
+        "card": lambda: 16 <= len(digits) <= 19 and luhn(digits),
+        "phone": lambda: 8 <= len(digits) <= 15,
+    }[kind]()
+
+
+def base(text):
+    return [
+        (kind, m.start(), m.end())
+        for kind, pattern in GIVEN.items() for m in re.finditer(pattern, text) if valid(kind, m.group())
+    ]
+
+
+def texts():
+    made = random.Random(5)
+    parts = ["a@b.c", "%x@d.e.f", "1.2.3.4", "5.6", ".7", "256.1.1.1", "4111 1111 1111 1111", "4111111111111111", "-1",
+             " ", "\n", "é", "😀", "+1 (017) 555-7713", "+", "12", "0001.002.3.255", "@", "a.b", "_", "++49 30 123456", "("]
+    return [
+        None, "", "plain", "x" * 5000, "1 " * 3000, "1.2.3.4 " * 400, "a@b.c," * 300,
+        *["".join(made.choice(parts) for _ in range(made.randint(1, 14))) for _ in range(400)],
+    ]
+
+
+def test_base_spans(spark, sf_dir):
+    own = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
+    docs = own.unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    for row in pii.with_base_spans(docs).collect():
+        assert [tuple(s) for s in row.base] == base(row.text or ""), row.text
+
+
+def test_secrets_are_added_and_base_stays(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(i, f'text and token = "{secret[i % 7:]}" goes on, write to me@example.com') for i in range(60)]
+    rows += [(100 + i, f"internationalisation-of-things{i} and 12345678901234567890 items of words") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    found = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.with_spans(docs, model=model).collect()}
+    for i, text in rows:
+        kinds = [k for k, _, _ in found[i]]
+        assert kinds == (["email", "secret"] if i < 100 else []), (text, kinds)
+    assert all(model.reliability[n][1, 1] > model.reliability[n][0, 1] for n in pii.LABELERS)
+
+
+def test_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None, "x", "y")] * 2, "doc_id long, text string, base string, spans string")
+    rows = pii.with_spans(docs, model=pii.fit(docs)).collect()
+    assert [list(r.spans) for r in rows] == [[], []]
+    assert pii.with_spans(docs.filter("false")).count() == 0
+
+
+def test_redaction(spark):
+    docs = spark.createDataFrame([("é me@x.org, 10.0.0.1",), (None,)], "text string")
+    out = pii.redacted(pii.with_base_spans(docs), spans="base").select("text").collect()
+    assert [r.text for r in out] == ["é [email], [ip]", ""]
