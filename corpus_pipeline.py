@@ -1,25 +1,53 @@
-"""The corpus pipeline: from raw documents to token ids."""
+"""The corpus pipeline: from raw documents to token ids.
+
+Every stage takes all documents its predecessor kept and returns the columns of documents; the last
+one adds the token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stmtwatch.llm.bpe import encode
 from stmtwatch.llm.exact_dedup import drop_exact_duplicates
+from stmtwatch.llm.importance import sampled_documents
+from stmtwatch.llm.mixing import mixed_documents
+from stmtwatch.llm.queries import tokenizer
 from stmtwatch.llm.simhash import drop_near_duplicates
 
-# The stages as a whole are not expressible in SQL.
+# Trained weights and fingerprints are not expressible in SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample rejects go."""
+    return sampled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
     return drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the document with the smallest doc_id stays."""
     return drop_near_duplicates(docs, shingle=4, distance=4)
 
 
-STAGES = [("exact dedup", exact), ("simhash near-dedup", near)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are taken as often as their source's target asks for."""
+    return mixed_documents(docs, length="n_chars")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their tokens."""
+    return encode(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality), ("exact dedup", exact), ("simhash near-dedup", near),
+    ("source mixing", mix), ("bpe encoding", encoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, pii, simhash, toxicity
+from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, pii, simhash, toxicity, warc
 from stmtwatch.llm.common import checkpointed, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,16 @@ def op3_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op6_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    back = warc.read_archive(spark, warc.write_archive(pages))
+    kind = pages.schema["page_id"].dataType
+    return back.select(
+        F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind)
+    )
+
+
 @query
 def op7_fertility(spark, sf_dir):
     rules = fertility.quality_rules(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
@@ -96,6 +106,14 @@ def op9_pii(spark, sf_dir):
 
 
 ORACLES: dict[str, str] = {
+    "op6_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as payload_digest from p),
+        g as (select payload_digest, payload_bytes, max(page_id) as first from d group by all)
+        select page_id, payload_bytes, payload_digest,
+            case when payload_bytes >= 1000 and page_id < first then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 1000 and page_id < first then first end as refers_to
+        from d join g using (payload_digest, payload_bytes)""",
     "op4_exact_dedup": """
         with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
