@@ -2,29 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stmtwatch.llm.common import shared_folder
-
-
-class _Rounds:
-    """Tables of one round each in the shared folder; the one before the last is deleted."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(f"{self.root}/{self.n}")
-        self.drop(self.n - 1)
-        return self.spark.read.parquet(f"{self.root}/{self.n}")
-
-    def drop(self, n: int | None = None) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root if n is None else f"{self.root}/{n}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+from stmtwatch.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -48,13 +29,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     with very many links are reduced before the shuffle, and their join is split by AQE. A round is
     written to the shared folder, so a lost executor costs the current round at most.
     """
-    rounds = _Rounds(edges.sparkSession)
+    rounds, n = Scratch(edges.sparkSession, "components"), 0
     tidy = lambda df: df.filter("u <> v").distinct()
     digest = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    edges = rounds.keep(tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
+    edges = rounds.keep(tidy(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "0")
     before = digest(edges)
     while before[0]:
-        edges = rounds.keep(tidy(_small_star(tidy(_large_star(edges)))))
+        edges = rounds.keep(tidy(_small_star(tidy(_large_star(edges)))), str(n + 1))
+        rounds.drop(str(n))
+        n += 1
         after = digest(edges)
         if after == before:
             break

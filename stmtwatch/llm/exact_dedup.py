@@ -26,13 +26,13 @@ HASHES = 2
 SEGMENT_WORDS = 128
 
 
-def _cells(sha: str, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.col(sha), F.lit(i)), F.lit(bits)) for i in range(HASHES)]
+def _cells(sha: str, bits: int, hashes: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.col(sha), F.lit(i)), F.lit(bits)) for i in range(hashes)]
 
 
-def repeated_filter(hashes: DataFrame, sha: str = "sha", bits: int = FILTER_BITS) -> DataFrame:
+def repeated_filter(rows: DataFrame, sha: str = "sha", bits: int = FILTER_BITS, hashes: int = HASHES) -> DataFrame:
     """Pass 1: the cells hit by two rows or more, as rows of (segment, words)."""
-    cells = hashes.select(F.explode(F.array_distinct(F.array(*_cells(sha, bits)))).alias("cell"))
+    cells = rows.select(F.explode(F.array_distinct(F.array(*_cells(sha, bits, hashes)))).alias("cell"))
     twice = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     words = twice.groupBy(F.shiftright("cell", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")
@@ -45,11 +45,13 @@ def repeated_filter(hashes: DataFrame, sha: str = "sha", bits: int = FILTER_BITS
     ).alias("words"))
 
 
-def with_possible(rows: DataFrame, repeated: DataFrame, sha: str = "sha", bits: int = FILTER_BITS) -> DataFrame:
+def with_possible(
+    rows: DataFrame, repeated: DataFrame, sha: str = "sha", bits: int = FILTER_BITS, hashes: int = HASHES
+) -> DataFrame:
     """Pass 2: add `possible`, false where no other row has the hash. Nothing is shuffled."""
     span = 64 * SEGMENT_WORDS
     out = rows.withColumn("possible", F.lit(True))
-    for i, cell in enumerate(_cells(sha, bits)):
+    for i, cell in enumerate(_cells(sha, bits, hashes)):
         side = repeated.select(F.col("segment").alias("_segment"), F.col("words").alias("_words"))
         out = (
             out.withColumn("_cell", cell).withColumn("_at", F.expr(f"_cell div {span}"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, pii, simhash, toxicity, warc
+from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, pii, simhash, suffix_dedup, toxicity, warc
 from stmtwatch.llm.common import checkpointed, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def op3_toxicity(spark, sf_dir):
     )
 
 
+@query
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query
 def op6_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
