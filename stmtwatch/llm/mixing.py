@@ -240,7 +240,9 @@ def mix(
     copies = copies.select(
         "row", "ident", "size", F.col("words").alias("source_size"), "target", "rank",
         F.col("copy.epoch").alias("epoch"), F.col("copy.words").alias("words"),
-        F.expr("least(blocks - 1, cast(floor(copy.at / (quota / nullif(cast(blocks as double), 0D))) as bigint))").alias("block"),
+        F.when(F.col("copy").isNotNull(), F.expr(
+            "least(blocks - 1, cast(floor(copy.at / (quota / nullif(cast(blocks as double), 0D))) as bigint))"
+        )).alias("block"),
     )
     blocks = drawn_blocks(sources, shards, seed)
     return copies.join(blocks, ["rank", "block"], "left").select(

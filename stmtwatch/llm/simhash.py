@@ -68,13 +68,17 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return list(zip(cuts[:-1], [b - a for a, b in zip(cuts, cuts[1:])]))
 
 
+def _signed(bits: int) -> int:
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+
+
 def variants(fp: Column, distance: int) -> Column:
     """All one-wildcard variants: number of the bit that is left out, and the rest of its segment."""
     made = []
     for first, width in segments(distance):
-        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
+        value = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit(_signed((1 << width) - 1)))
         for bit in range(width):
-            rest = value.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit)))
+            rest = value.bitwiseAND(F.lit(_signed(((1 << width) - 1) & ~(1 << bit))))
             made.append(F.struct(F.lit(first + bit).cast("short").alias("bit"), rest.alias("rest")))
     return F.array(*made)
 
