@@ -215,8 +215,8 @@ def _true_constants(dialect: Column, rules: CompiledRules, use) -> Column:
     """`use(regex)` with the regex of the row's dialect, or null."""
     result = F.when(F.lit(False), use("(?!)"))
     for name in sorted({d for d, category in rules if category == "true constants"}):
-        listed = rules[(name, "true constants")].removeprefix("^").removesuffix("$")
-        result = result.when(dialect == name, use(rf" :{listed}(?= )"))
+        listed = "|".join(r.removeprefix("^").removesuffix("$") for r in rules[(name, "true constants")])
+        result = result.when(dialect == name, use(rf" :(?:{listed})(?= )"))
     return result
 
 

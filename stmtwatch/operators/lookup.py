@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A side is broadcast only after its content has been measured to stay below this.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
-# A key with more rows than this is hot. A log of N rows has at most N / HOT_ROWS hot keys.
+# A key with more rows than this is hot.
 HOT_ROWS = 1_000_000
+# There are never more hot keys than this: some 30 MB.
+MAX_HOT_KEYS = 1_000_000
+# Pieces that a key of a stream is dealt into, and pieces for rows without a key.
+STREAM_SALTS = 16
+NULL_SALTS = 1024
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -27,6 +33,21 @@ def fits_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= max_bytes
 
 
+def _hot_keys(left: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+    """(_hash, _salts) of the keys with many rows: into how many pieces their rows are dealt.
+
+    Keys are counted by a hash, so texts do not move. A key is hot from a millionth of the rows on
+    at the earliest: there are fewer than MAX_HOT_KEYS, of some 30 bytes each.
+    """
+    hashed = left.dropna(subset=keys).select(F.xxhash64(*keys).alias("_hash"))
+    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(W.partitionBy())
+    limit = F.greatest(F.lit(hot_rows), F.expr(f"_total div {MAX_HOT_KEYS}"))
+    # Only keys that may be hot take part in the total's window; the rest is summed before.
+    large = counts.filter(F.col("_n") > hot_rows).withColumn("_total", total)
+    return large.filter(F.col("_n") > limit).select("_hash", F.expr(f"cast(_n div {hot_rows} + 1 as int)").alias("_salts"))
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -36,24 +57,32 @@ def lookup_join(
 ) -> DataFrame:
     """`left` joined with `right`, whose keys are unique; every row of `left` stays.
 
-    A right side measured to be small is broadcast and the log is not shuffled. Else the keys that
-    occur often in the log are counted first: their rows meet the few matching right rows by
-    broadcast, all other rows by a shuffled join in which no key is hot.
+    A right side measured to be small is broadcast and the log is not shuffled. Else the log is
+    shuffled by key and salt: the rows of a hot key are dealt into pieces of about `hot_rows`, and
+    its one right row is copied to each piece. Which keys are hot is counted once. Rows with a null
+    key match nothing and are spread. A stream cannot be counted; there every key is dealt into
+    STREAM_SALTS pieces.
     """
     if fits_broadcast(right, max_bytes):
         return left.join(F.broadcast(right), keys, "left")
+
+    row = F.monotonically_increasing_id()
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
     if left.isStreaming:
-        return left.join(right.hint("merge"), keys, "left")
-
-    hot_keys = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    hot_keys = hot_keys.dropna(subset=keys).select(*keys)
-    hot_right = right.join(hot_keys, keys, "left_semi")
-    if not (fits_broadcast(hot_keys, max_bytes) and fits_broadcast(hot_right, max_bytes)):
-        return left.join(right.hint("merge"), keys, "left")
-    marked = left.join(F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), keys, "left")
-    hot = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot_right), keys, "left")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot")
-    return hot.unionByName(cold.join(right.hint("merge"), keys, "left"))
+        salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(STREAM_SALTS)).cast("int"))
+        copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SALTS - 1))))
+    else:
+        hot = F.broadcast(_hot_keys(left, keys, hot_rows))
+        marked = left.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left")
+        salt = F.when(~whole, row % NULL_SALTS).otherwise(row % F.coalesce("_salts", F.lit(1)))
+        salted = marked.withColumn("_salt", salt.cast("int")).drop("_hash", "_salts")
+        spread = right.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left")
+        copies = spread.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+        ).drop("_hash", "_salts")
+    return salted.join(copies.hint("merge"), [*keys, "_salt"], "left").drop("_salt")
 
 
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:

@@ -61,12 +61,14 @@ def resolve_policy(log: DataFrame, policies: DataFrame, endpoints: DataFrame) ->
     else the built-in one.
     """
     exact = user_policies(policy_catalog(policies, endpoints)).select(
-        "proxy_id", "db_name", F.col("perms").alias("_perms"), F.col("status").alias("_status")
+        "proxy_id", "db_name", F.col("perms").alias("_perms"), F.col("status").alias("_status"),
+        F.lit(True).alias("_exact"),
     )
     fallback = system_policies(policies).select(
         F.col("sysdbtype").alias("_system"),
         F.col("perms").alias("_system_perms"),
         F.col("status").alias("_system_status"),
+        F.lit(True).alias("_is_system"),
     )
     rows = log.withColumns({
         "db_name": F.coalesce("db_name", F.lit("")),
@@ -76,8 +78,8 @@ def resolve_policy(log: DataFrame, policies: DataFrame, endpoints: DataFrame) ->
     joined = lookup_join(rows, exact, ["proxy_id", "db_name"]).join(
         F.broadcast(fallback), "_system", "left"
     )
-    is_exact = F.col("_status").isNotNull()
-    is_system = F.col("_system_status").isNotNull()
+    is_exact = F.col("_exact").isNotNull()
+    is_system = F.col("_is_system").isNotNull()
 
     def pick(exact_value, system_value, builtin_value) -> Column:
         return F.when(is_exact, exact_value).when(is_system, system_value).otherwise(builtin_value)
@@ -88,8 +90,13 @@ def resolve_policy(log: DataFrame, policies: DataFrame, endpoints: DataFrame) ->
         pick(F.lit("user"), F.lit("system"), F.lit("builtin")).alias("policy_kind"),
         pick(F.col("proxy_id"), F.lit(0), F.lit(BUILTIN_PROXY)).alias("policy_proxy_id"),
         pick(F.col("db_name"), system_db, F.lit(BUILTIN_DB)).alias("policy_db_name"),
-        pick(F.col("_perms"), F.col("_system_perms"), F.lit(BUILTIN_PERMS)).cast("long").alias("perms"),
-        pick(F.col("_status"), F.col("_system_status"), F.lit(MODE_RISK_BLOCK)).alias("status"),
+        # Stored without a value, both are 0.
+        F.coalesce(
+            pick(F.col("_perms"), F.col("_system_perms"), F.lit(BUILTIN_PERMS)), F.lit(0)
+        ).cast("long").alias("perms"),
+        F.coalesce(
+            pick(F.col("_status"), F.col("_system_status"), F.lit(MODE_RISK_BLOCK)), F.lit(0)
+        ).cast("int").alias("status"),
     )
 
 

@@ -90,7 +90,7 @@ def with_signals_by_outline(
     """The same flags, but each distinct outline is analysed once and its flags are joined back.
 
     Statements of one shape share their outline whatever their literals, so a log of any size has
-    few. They are found by a partial aggregate: an outline that makes up a third of the log reaches
+    fewer. They are found by a partial aggregate: an outline that makes up a third of the log reaches
     the shuffle once per task. The analysed outlines are written to the shared folder, which runs
     a job now; their size is measured there before they are broadcast.
     """

@@ -46,15 +46,29 @@ def inspectable(log: DataFrame) -> DataFrame:
 def session_events(log: DataFrame) -> DataFrame:
     """What each row sets: `_user` and `_db`, null where it leaves the session as it is.
 
-    A login or change_user sets both. A use_db sets the database unless it failed (`ok` false).
+    A login or change_user sets both. A use_db sets the database unless it failed (`ok` false). A
+    quit clears both.
     """
     sets_both = F.col("command").isin("login", "change_user")
+    quits = F.col("command") == "quit"
     ok = F.coalesce(F.col("ok"), F.lit(True)) if "ok" in log.columns else F.lit(True)
-    user = F.when(sets_both, F.coalesce("db_user", F.lit("")))
-    db = F.when(sets_both | ((F.col("command") == "use_db") & ok), F.coalesce("db_name", F.lit("")))
+    user = F.when(quits, "").when(sets_both, F.coalesce("db_user", F.lit("")))
+    db = F.when(quits, "").when(
+        sets_both | ((F.col("command") == "use_db") & ok), F.coalesce("db_name", F.lit(""))
+    )
     return log.withColumns({"_user": user, "_db": db})
 
 
+def _last_set(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The last user and database set per key; partial aggregates, so a busy key is no group."""
+    time = [F.max("_time").alias("_seen")] if "_time" in events.columns else []
+    return events.groupBy(*keys).agg(
+        *time,
+        F.max_by("_user", F.when(F.col("_user").isNotNull(), F.col("seq"))).alias("_last_user"),
+        F.max_by("_db", F.when(F.col("_db").isNotNull(), F.col("seq"))).alias("_last_db"),
+    )
+
+
 def with_session_context(
     log: DataFrame, carried: DataFrame | None = None, block: int = 1_000_000
 ) -> DataFrame:
@@ -65,16 +79,20 @@ def with_session_context(
     partial aggregate, carried over the (few) blocks of the connection, and then used as the start
     value inside the next block. The log is shuffled once, on connection and block.
 
+    Rows without connection or sequence number have no place in a session: they have only what they
+    set themselves, and are spread over blocks of their own.
+
     `carried(conn_id, carried_user, carried_db)` holds the values from before the log, if any.
     """
-    events = session_events(log).withColumn("_block", F.floor(F.col("seq") / block))
-    # Only the few rows that set something are sorted for the last value of a block.
-    setting = events.filter(F.col("_user").isNotNull() | F.col("_db").isNotNull())
-    last = setting.groupBy("conn_id", "_block").agg(
-        F.max_by("_user", F.when(F.col("_user").isNotNull(), F.col("seq"))).alias("_last_user"),
-        F.max_by("_db", F.when(F.col("_db").isNotNull(), F.col("seq"))).alias("_last_db"),
+    placed = F.col("conn_id").isNotNull() & F.col("seq").isNotNull()
+    spread = -1 - F.pmod(F.xxhash64("conn_id", "seq", "command", "db_user", "db_name"), F.lit(1024))
+    events = session_events(log).withColumn(
+        "_block", F.when(placed, F.floor(F.col("seq") / block)).otherwise(spread)
     )
-    blocks = events.select("conn_id", "_block").distinct().join(last, ["conn_id", "_block"], "left")
+    # Only the few rows that set something are sorted for the last value of a block.
+    setting = events.filter(placed & (F.col("_user").isNotNull() | F.col("_db").isNotNull()))
+    last = _last_set(setting, ["conn_id", "_block"])
+    blocks = events.filter(placed).select("conn_id", "_block").distinct().join(last, ["conn_id", "_block"], "left")
     earlier = W.partitionBy("conn_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     starts = blocks.select(
         "conn_id",
@@ -94,7 +112,8 @@ def with_session_context(
     )
 
     def value(event: str, start: str) -> Column:
-        return F.coalesce(F.last(event, ignorenulls=True).over(inside), F.col(start), F.lit(""))
+        known = F.coalesce(F.last(event, ignorenulls=True).over(inside), F.col(start), F.lit(""))
+        return F.when(placed, known).otherwise(F.coalesce(F.col(event), F.lit("")))
 
     joined = events.join(starts.hint("merge"), ["conn_id", "_block"], "left")
     return (
@@ -108,25 +127,32 @@ def with_session_context(
     )
 
 
-def session_state(log: DataFrame, carried: DataFrame | None = None) -> DataFrame:
-    """The last user and database of each connection that is still open after the log."""
-    events = session_events(log).select("conn_id", "seq", "command", "_user", "_db")
-    setting = events.filter(F.col("_user").isNotNull() | F.col("_db").isNotNull())
-    values = setting.groupBy("conn_id").agg(
-        F.max_by("_user", F.when(F.col("_user").isNotNull(), F.col("seq"))).alias("last_user"),
-        F.max_by("_db", F.when(F.col("_db").isNotNull(), F.col("seq"))).alias("last_db"),
-    )
-    seen = events.groupBy("conn_id").agg(
-        F.max(F.when(F.col("command") == "quit", F.col("seq"))).alias("quit_at"),
-        F.max("seq").alias("seen_at"),
-    )
-    last = seen.join(values, "conn_id", "left")
+def session_state(log: DataFrame, carried: DataFrame | None = None, idle: str | None = None) -> DataFrame:
+    """What is carried on from a log: user, database and last time of each connection that has
+    either. A connection that quit has none.
+
+    `idle` (an interval such as "8 hours") drops connections that were silent for longer, counted
+    from the last time in this log.
+    """
+    time = F.col("event_time") if "event_time" in log.columns else F.lit(None).cast("timestamp")
+    placed = F.col("conn_id").isNotNull() & F.col("seq").isNotNull()
+    events = session_events(log).withColumn("_time", time).filter(placed)
+    state = _last_set(events, ["conn_id"])
     if carried is not None:
-        last = last.join(carried, "conn_id", "full")
-        user = F.coalesce("last_user", "carried_user")
-        db = F.coalesce("last_db", "carried_db")
+        before = carried if "carried_time" in carried.columns else carried.withColumn(
+            "carried_time", F.lit(None).cast("timestamp")
+        )
+        state = state.join(before, "conn_id", "full")
+        user, db = F.coalesce("_last_user", "carried_user"), F.coalesce("_last_db", "carried_db")
+        seen = F.greatest("_seen", "carried_time")
     else:
-        user, db = F.col("last_user"), F.col("last_db")
-    return last.filter(F.coalesce(F.col("quit_at") < F.col("seen_at"), F.lit(True))).select(
-        "conn_id", user.alias("carried_user"), db.alias("carried_db")
-    )
+        user, db, seen = F.col("_last_user"), F.col("_last_db"), F.col("_seen")
+    state = state.select(
+        "conn_id", user.alias("carried_user"), db.alias("carried_db"), seen.alias("carried_time")
+    ).filter((F.coalesce("carried_user", F.lit("")) != "") | (F.coalesce("carried_db", F.lit("")) != ""))
+    if idle is not None:
+        now = events.agg(F.max("_time").alias("now")).first().now  # one row
+        if now is not None:
+            still = F.col("carried_time") >= F.lit(now) - F.expr(f"interval {idle}")
+            state = state.filter(F.coalesce(still, F.lit(True)))
+    return state

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stmtwatch.config import RiskWeights
@@ -64,8 +65,15 @@ def resolved_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new scratch folder. A local session without a shared folder is given one."""
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stmtwatch-"))
+    return storage.scratch_folder(spark)
+
+
 def _stored(df: DataFrame) -> str:
-    path = storage.scratch_folder(df.sparkSession)
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return path
 
@@ -76,7 +84,7 @@ def _stored(df: DataFrame) -> str:
 @query
 def read_query_log(spark, sf_dir):
     """The log written as JSON and read back with the fixed schema."""
-    path = storage.scratch_folder(spark)
+    path = scratch(spark)
     demo.query_log(spark, sf_dir).write.json(path)
     return naive(tables.read_query_log(spark, path, "json"))
 
@@ -85,7 +93,7 @@ def read_query_log(spark, sf_dir):
 def stream_query_log(spark, sf_dir):
     """The log read as a stream of files, counted by command."""
     path = _stored(demo.query_log(spark, sf_dir).repartition(4))
-    out = storage.scratch_folder(spark)
+    out = scratch(spark)
     log = tables.stream_query_log(spark, path, max_files=2)
     log.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(
         availableNow=True
@@ -93,9 +101,28 @@ def stream_query_log(spark, sf_dir):
     return spark.read.parquet(out).groupBy("db_type", "command").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def messages(spark, sf_dir):
+    """The log of sessions as JSON messages."""
+    sent = demo.session_log(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    return naive(tables.query_log_from_json(sent))
+
+
+@query
+def added_rules(spark, sf_dir):
+    """Rows that extend the rule set, here by a category of their own."""
+    more = spark.createDataFrame(
+        [(d, "added", p) for d in ru.DIALECTS for p in ("^insert into", "^select.*union")], ru.RULES
+    )
+    rules = ru.compile_rules(ru.read_rules(spark).unionByName(more))
+    log = fp.with_pattern(statements(spark, sf_dir))
+    hit = ru.matches(rules, "added", F.col("db_type"), F.col("pattern"))
+    return log.select("db_type", hit.alias("added")).groupBy("db_type", "added").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def read_policy(spark, sf_dir):
-    path = storage.scratch_folder(spark)
+    path = scratch(spark)
     policies = demo.derived(spark, sf_dir, demo.CUSTOMER_POLICY_SQL, "customer")
     system = policies.filter("sysdbtype <> 'user_db'").withColumn("proxy_id", F.lit(0))
     sinks.write_policy(policies.unionByName(system), path)
@@ -147,7 +174,7 @@ def rule_matches(spark, sf_dir):
 
 @query
 def write_alerts(spark, sf_dir):
-    path = storage.scratch_folder(spark)
+    path = scratch(spark)
     sinks.write_alerts(al.alerts(scored_log(spark, sf_dir)), path, period="year")
     return naive(tables.read_alerts(spark, path).select(
         "event_time", "risk", "block", "dbuser", "userip", "query", "reason"
@@ -156,7 +183,7 @@ def write_alerts(spark, sf_dir):
 
 def _upserted_groups(spark, sf_dir) -> DataFrame:
     """Two upserts, of the even and of all alerts."""
-    path = storage.scratch_folder(spark)
+    path = scratch(spark)
     raised = al.alerts(scored_log(spark, sf_dir))
     sinks.upsert_alert_groups(raised.filter("proxy_id = 1"), path)
     sinks.upsert_alert_groups(raised, path)
@@ -171,7 +198,7 @@ def upsert_alert_groups(spark, sf_dir):
 
 @query
 def upsert_allowlist(spark, sf_dir):
-    path = storage.scratch_folder(spark)
+    path = scratch(spark)
     first = tables.conform(spark.sql(demo.ALLOWLIST_SQL), tables.schemas.ALLOWLIST)
     storage.write_part(first, path, "job-first")
     new = le.learned(scored_log(spark, sf_dir))
@@ -183,7 +210,7 @@ def upsert_allowlist(spark, sf_dir):
 @query
 def write_policy(spark, sf_dir):
     """Two versions of the policies; the newest one is read."""
-    path = storage.scratch_folder(spark)
+    path = scratch(spark)
     policies = demo.derived(spark, sf_dir, demo.CUSTOMER_POLICY_SQL, "customer")
     sinks.write_policy(policies, path)
     sinks.write_policy(_expired(tables.read_policies(spark, path)), path)
@@ -195,13 +222,16 @@ def write_policy(spark, sf_dir):
 
 @query
 def session_context(spark, sf_dir):
-    shaped = se.with_session_context(demo.session_log(spark, sf_dir), block=1000)
+    """Sessions of a log from JSON, with quits, new logins and failed changes of the database."""
+    path = scratch(spark)
+    demo.session_log(spark, sf_dir).write.json(path)
+    shaped = se.with_session_context(tables.read_query_log(spark, path, "json"), block=1000)
     return shaped.select("seq", "conn_id", "command", "db_user", "db_name")
 
 
 @query
 def session_state(spark, sf_dir):
-    return se.session_state(demo.session_log(spark, sf_dir))
+    return naive(se.session_state(demo.session_log(spark, sf_dir)))
 
 
 @query
@@ -231,8 +261,8 @@ def mask_quoted(spark, sf_dir):
 
 @query
 def reduce_block_comments(spark, sf_dir):
-    docs = demo.derived(spark, sf_dir, "select doc_id, lang, source from documents", "documents")
-    text = F.concat(F.lit("select /* "), "lang", F.lit(" */ 1 /**/ from t /* open "), "source")
+    docs = demo.derived(spark, sf_dir, "select doc_id, text from documents", "documents")
+    text = F.concat(F.lit("select /* "), "text", F.lit(" */ 1 /**/ from t /* open "), "text")
     return docs.select("doc_id", fp.reduce_block_comments(text).alias("text"))
 
 
@@ -468,69 +498,107 @@ def expire_learning(spark, sf_dir):
 # --- streaming ----------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, log: DataFrame, files: int) -> st.Tables:
-    """Score a log as a stream of files into fresh tables."""
-    root = storage.scratch_folder(spark)
+BATCHES = 4
+
+
+def _in_files(log: DataFrame, batch: Column) -> str:
+    """The log as files written one after the other, so that a stream reads them in this order."""
+    path = scratch(log.sparkSession)
+    for number in range(BATCHES):
+        log.filter(batch == number).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _tables(spark: SparkSession) -> st.Tables:
+    root = scratch(spark)
     known = context(spark)
     paths = st.Tables(
         policies=f"{root}/policies", endpoints=f"{root}/endpoints", allowlist=f"{root}/allowlist",
-        alerts=f"{root}/alerts", alert_groups=f"{root}/alert_groups",
-        alert_period="year",
+        alerts=f"{root}/alerts", alert_groups=f"{root}/alert_groups", alert_period="year",
     )
-    sinks.write_policy(_without_timed_learning(known.policies), paths.policies)
+    sinks.write_policy(known.policies, paths.policies)
     known.endpoints.write.parquet(paths.endpoints)
     storage.write_part(known.allowlist, paths.allowlist, "job-first")
-    log.repartition(files).write.parquet(f"{root}/log")
-    stream = tables.stream_query_log(spark, f"{root}/log", max_files=files)
-    st.run_scoring(stream, known.rules, paths, f"{root}/state", available_now=True).awaitTermination()
     return paths
 
 
-def _without_timed_learning(policies: DataFrame) -> DataFrame:
-    """The demo policies with learning that does not end."""
-    return policies.withColumn("status", F.when(F.col("status") == 12, 10).otherwise(F.col("status")))
+def _stream_into(log: DataFrame, paths: st.Tables) -> None:
+    """Score a log as a stream of four micro-batches, at a time when all policies still learn."""
+    spark = log.sparkSession
+    stream = tables.stream_query_log(spark, _in_files(log, F.col("seq") % BATCHES), max_files=1)
+    st.run_scoring(
+        stream, context(spark).rules, paths, scratch(spark), available_now=True,
+        now=F.lit("2020-01-02 00:00:00").cast("timestamp"),
+    ).awaitTermination()
 
 
-@query
-def score_stream(spark, sf_dir):
-    """Alerts of a stream: the same as those of the batch."""
-    paths = _streamed(spark, demo.query_log(spark, sf_dir), 4)
+def _streamed(spark: SparkSession, sf_dir: str) -> st.Tables:
+    paths = _tables(spark)
+    _stream_into(demo.query_log(spark, sf_dir), paths)
+    return paths
+
+
+def _streamed_alerts(spark: SparkSession, paths: st.Tables) -> DataFrame:
     return naive(tables.read_alerts(spark, paths.alerts).select(
         "event_time", "risk", "block", "dbuser", "userip", "query", "reason"
     ))
 
 
+@query
+def score_stream(spark, sf_dir):
+    """Alerts of a stream: those of the batch, without what was learned in earlier micro-batches."""
+    return _streamed_alerts(spark, _streamed(spark, sf_dir))
+
+
+@query
+def two_streams(spark, sf_dir):
+    """The logs of two endpoints as streams of their own, one after the other, over the same tables."""
+    paths = _tables(spark)
+    log = demo.query_log(spark, sf_dir)
+    for proxy in (1, 2):
+        _stream_into(log.filter(F.col("proxy_id") == proxy), paths)
+    return _streamed_alerts(spark, paths)
+
+
+@query
+def refresh_stream(spark, sf_dir):
+    """Alerts by micro-batch: what one of them learns is known to the next."""
+    raised = tables.read_alerts(spark, _streamed(spark, sf_dir).alerts)
+    return raised.groupBy(F.element_at(F.split("part", "-"), -1).cast("int").alias("batch")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 @query
 def learn_stream(spark, sf_dir):
     """The allowlist after a stream: the same as after the batch."""
-    paths = _streamed(spark, demo.query_log(spark, sf_dir), 4)
-    return tables.read_allowlist(spark, paths.allowlist)
+    return tables.read_allowlist(spark, _streamed(spark, sf_dir).allowlist)
 
 
 @query
 def group_stream(spark, sf_dir):
     """Alert groups kept by a streaming aggregate over scored statements."""
-    path = _stored(demo.query_log(spark, sf_dir).repartition(4))
-    log = tables.stream_query_log(spark, path)
-    groups = st.group_stream(al.alerts(st.score_stream(log, context(spark))))
-    out = storage.scratch_folder(spark)
-    groups.writeStream.outputMode("complete").foreachBatch(
-        lambda batch, number: storage.write_part(batch, out, storage.stream_part(number))
-    ).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    return naive(spark.read.parquet(out).groupBy(*al.GROUP_KEYS).agg(
-        F.max("update_time").alias("update_time"), F.max("status").alias("status")
-    ))
+    path = _in_files(demo.query_log(spark, sf_dir), F.col("seq") % BATCHES)
+    log = tables.stream_query_log(spark, path, max_files=1)
+    raised = al.alerts(st.score_stream(log, context(spark)))
+    out = scratch(spark)
+    st.run_groups(raised, out, scratch(spark), available_now=True).awaitTermination()
+    return naive(tables.read_alert_groups(spark, out).drop("agroupid"))
 
 
 @query
 def session_stream(spark, sf_dir):
-    """Session context over micro-batches in order of time, carried from one to the next."""
+    """Session context over micro-batches in order of sequence, carried from one to the next."""
     log = demo.session_log(spark, sf_dir)
-    root = storage.scratch_folder(spark)
-    width = 4000
-    for start in range(4):
-        last = start == 3
-        part = log.filter(F.col("seq") >= start * width)
-        part = part if last else part.filter(F.col("seq") < (start + 1) * width)
-        storage.write_part(st.session_stream(part, start, f"{root}/sessions"), f"{root}/out", f"batch-{start}")
+    last = log.agg(F.max("seq").alias("last"))  # one row
+    batch = F.floor(F.col("seq") * BATCHES / (F.lit(last.first().last or 0) + 1))
+    stream = tables.stream_query_log(spark, _in_files(log, batch), max_files=1)
+    root = scratch(spark)
+
+    def shape(rows: DataFrame, number: int) -> None:
+        storage.write_part(st.session_stream(rows, number, f"{root}/sessions"), f"{root}/out", storage.stream_part(number))
+
+    stream.writeStream.foreachBatch(shape).option("checkpointLocation", f"{root}/state").trigger(
+        availableNow=True
+    ).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").select("seq", "conn_id", "command", "db_user", "db_name")

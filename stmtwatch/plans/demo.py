@@ -185,7 +185,8 @@ SESSION_LOG_SQL = """
 select event_id as seq, ts as event_time, concat('c', cast(user_id % 20 as varchar(20))) as conn_id, 1 as proxy_id,
  'mysql' as db_type, concat('db', cast(event_id % 7 as varchar(20))) as db_name,
  concat('u', cast(event_id % 13 as varchar(20))) as db_user, '10.0.0.1' as user_ip,
- case when event_id % 10 = 0 then 'login' when event_id % 10 = 5 then 'use_db' else 'query' end as command,
+ case when event_id % 10 = 0 then 'login' when event_id % 10 = 5 then 'use_db' when event_id % 30 = 17 then 'quit'
+  else 'query' end as command,
  event_id % 15 <> 0 as ok, event_type as query
 from events
 """

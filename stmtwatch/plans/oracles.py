@@ -172,6 +172,17 @@ def _chained(sql: str) -> str:
 
 _ALERT_COLUMNS = "event_time, risk, block, dbuser, userip, query, reason"
 _ALERTS = _chained(f"select {_ALERT_COLUMNS} from alert_rows")
+# A log that comes in four micro-batches: what a learning policy has met in one of them is listed
+# from the next one on.
+_BY_BATCH = """, by_batch as (
+ select *, seq % 4 as batch, min(case when learn then seq % 4 end)
+  over (partition by policy_proxy_id, policy_db_name, pattern) as learned_in from verdict)
+"""
+_RAISED = "alert and not (learn and batch > learned_in)"
+_REFRESHED = _chained(
+    f"{_BY_BATCH} select event_time, risk, alert_level as block, db_user as dbuser, user_ip as userip, query, reason "
+    f"from by_batch where {_RAISED}"
+)
 _GROUPS = _chained("select * from groups")
 _MERGED_LIST = _chained(
     "select proxy_id, perm, db_name, query from allowlist "
@@ -188,8 +199,9 @@ from ({demo.CUSTOMER_POLICY_SQL})
 """
 _SESSIONS = f"""
 with log as ({demo.SESSION_LOG_SQL}), marked as (
- select *, case when command = 'login' then db_user end as set_user,
-  case when command = 'login' or (command = 'use_db' and ok) then db_name end as set_db from log)
+ select *, case when command = 'quit' then '' when command = 'login' then db_user end as set_user,
+  case when command = 'quit' then '' when command = 'login' or (command = 'use_db' and ok) then db_name end as set_db
+ from log)
 """
 _SESSION_CONTEXT = _SESSIONS + """
 select seq, conn_id, command, coalesce(last_value(set_user ignore nulls) over w, '') as db_user,
@@ -201,7 +213,7 @@ _STARS = ", ".join(f"perms & {bit} <> 0 as can_{name}" for name, bit in (
 ))
 
 ORACLES: dict[str, str] = {
-    "read_query_log": demo.QUERY_LOG_SQL,
+    "read_query_log": f"select *, cast(null as boolean) as ok from ({demo.QUERY_LOG_SQL})",
     "stream_query_log": f"select db_type, command, count(*) as n from ({demo.QUERY_LOG_SQL}) group by all",
     "read_policy": f"""
 with policies as ({demo.CUSTOMER_POLICY_SQL}), endpoints as ({demo.SUPPLIER_ENDPOINT_SQL}),
@@ -229,14 +241,18 @@ select proxy_id, perm, db_name, query from stored where perm > 0 and length(quer
     "session_context": _SESSION_CONTEXT,
     "session_state": _SESSIONS + """
 select conn_id, arg_max(set_user, seq) filter (set_user is not null) as carried_user,
- arg_max(set_db, seq) filter (set_db is not null) as carried_db from marked group by conn_id
+ arg_max(set_db, seq) filter (set_db is not null) as carried_db, max(event_time) as carried_time
+from marked group by conn_id having carried_user <> '' or carried_db <> ''
 """,
     "command_to_sql": _chained("select seq, command, query from spoken"),
     "inspectable_commands": _chained("select db_type, command, count(*) as n from stmts group by all"),
     "ascii_lower": f"select doc_id, translate(text, '{_UPPER}', '{_LOWER}') as text from documents",
     "mask_quoted": _chained("select seq, " + _nested("query", ("\"[^\"]*\"", "?")) + " as query from query_log"),
     "reduce_block_comments": (
-        "select doc_id, 'select /* */ 1 /**/ from t /*' as text from documents"
+        "select doc_id, replace(replace(" + _nested(
+            "replace('select /* ' || text || ' */ 1 /**/ from t /* open ' || text, '/**/', chr(1))",
+            (r"(?s)/\*.+?\*/", "\x02"), (r"(?s)/\*.*", "/*"),
+        ).replace("\x02", "' || chr(2) || '") + ", chr(2), '/* */'), chr(1), '/**/') as text from documents"
     ),
     "reduce_hash_comments": (
         "select page_id, " + _nested("html", (r"#[^\r\n]*[\r\n]*", "#")) + " as html from pages"
@@ -299,7 +315,15 @@ select a.pattern, g.status as group_status, count(*) as n from alert_rows a join
     "learned_patterns": _chained("select * from learned"),
     "merge_allowlist": _MERGED_LIST,
     "expire_learning": _EXPIRED,
-    "score_stream": _ALERTS,
+    "messages": f"select * from ({demo.SESSION_LOG_SQL})",
+    "added_rules": _chained("""
+select db_type, pattern like 'insert into%' or pattern like 'select%union%' as added, count(*) as n from patterned group by all
+"""),
+    "score_stream": _REFRESHED,
+    "two_streams": _REFRESHED,
+    "refresh_stream": _chained(
+        f"{_BY_BATCH} select cast(batch as int) as batch, count(*) as n from by_batch where {_RAISED} group by all"
+    ),
     "learn_stream": _USABLE_LIST,
     "group_stream": _GROUPS,
     "session_stream": _SESSION_CONTEXT,

@@ -13,6 +13,8 @@ QUERY_LOG = T.StructType([
     T.StructField("user_ip", T.StringType()),
     T.StructField("command", T.StringType()),
     T.StructField("query", T.StringType()),
+    # Did the command succeed? Unknown counts as yes.
+    T.StructField("ok", T.BooleanType()),
 ])
 
 POLICY = T.StructType([
@@ -66,3 +68,11 @@ RULES = T.StructType([
     T.StructField("category", T.StringType()),
     T.StructField("pattern", T.StringType()),
 ])
+
+# Columns that a stored table must have; others may be missing and are null then.
+REQUIRED = {
+    "query_log": ("db_type", "query"),
+    "policy": ("proxy_id", "db_name", "perms", "status", "sysdbtype"),
+    "endpoint": ("proxy_id", "dbtype", "status"),
+    "allowlist": ("proxy_id", "perm", "db_name", "query"),
+}

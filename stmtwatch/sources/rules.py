@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stmtwatch.schemas import RULES
@@ -13,11 +14,11 @@ from stmtwatch.schemas import RULES
 DIALECTS = ("mysql", "pgsql")
 PRIVILEGED_CATEGORIES = ("alter", "drop", "create", "info")
 
-# A rule set is configuration. It is refused, never cut, when it outgrows these bounds.
-MAX_RULES = 10_000
-MAX_RULE_CHARS = 1_000_000
+# A regex takes so many rules or characters, about; a category with more of them has several.
+RULES_PER_REGEX = 1000
+CHARS_PER_REGEX = 50_000
 
-CompiledRules = Mapping[tuple[str, str], str]
+CompiledRules = Mapping[tuple[str, str], tuple[str, ...]]
 
 
 # The default rules, one case-insensitive regex per line.
@@ -249,15 +250,22 @@ def read_rules(spark: SparkSession, path: str | None = None, fmt: str = "parquet
 
 
 def combined_rules(rules: DataFrame) -> DataFrame:
-    """One alternation per dialect and category, as a table."""
+    """One alternation per dialect, category and some thousand rules, as a table."""
     joined = F.concat_ws("|", F.sort_array(F.collect_list("pattern")))
+    order = W.partitionBy("dialect", "category").orderBy("pattern").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.count("pattern").over(order), F.lit(0))
+    chars = F.coalesce(F.sum(F.length("pattern")).over(order), F.lit(0))
     return (
         rules.filter(F.length("pattern") > 0)
-        .groupBy("dialect", "category")
+        .withColumn("piece", F.struct(
+            F.floor(before / RULES_PER_REGEX).alias("n"), F.floor(chars / CHARS_PER_REGEX).alias("c")
+        ))
+        .groupBy("dialect", "category", "piece")
         .agg(joined.alias("alternation"))
         .select(
             "dialect",
             "category",
+            "piece",
             F.when(F.col("category").isin(*_ANCHORED), F.concat(F.lit("^("), "alternation", F.lit(")$")))
             .when(F.col("category") == "sensitive tables", F.concat(F.lit("("), "alternation", F.lit(")")))
             .otherwise(F.col("alternation"))
@@ -270,22 +278,21 @@ def compile_rules(rules: DataFrame) -> CompiledRules:
     """Fetch the combined rules, so that each becomes a literal in the scoring plan.
 
     A literal pattern compiles once per task; a join of the log with the rules would be a nested
-    loop that compiles per row. The fetch is at most one row per dialect and category, and the
-    size of the rule set is checked first.
+    loop that compiles per row. A rule set is configuration; one of any size is taken, as several
+    regexes per dialect and category where one would be too large.
     """
-    size = rules.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars")
-    ).first()
-    if size.n > MAX_RULES or size.chars > MAX_RULE_CHARS:
-        raise ValueError(f"rule set too large: {size.n} rules, {size.chars} characters")
-    rows = combined_rules(rules).collect()
-    return {(r.dialect, r.category): r.regex for r in rows}
+    compiled: dict[tuple[str, str], tuple[str, ...]] = {}
+    for r in combined_rules(rules).orderBy("dialect", "category", "piece").collect():
+        compiled[r.dialect, r.category] = (*compiled.get((r.dialect, r.category), ()), r.regex)
+    return compiled
 
 
 def matches(rules: CompiledRules, category: str, dialect: Column, text: Column) -> Column:
     """Does `text` match the category's regex of the row's dialect? No rules, no match."""
     result = None
     for name in sorted({d for d, c in rules if c == category}):
-        hit = text.rlike("(?i)" + rules[(name, category)])
+        hit = F.lit(False)
+        for regex in rules[(name, category)]:
+            hit = text.rlike("(?i)" + regex) if len(rules[(name, category)]) == 1 else hit | text.rlike("(?i)" + regex)
         result = F.when(dialect == name, hit) if result is None else result.when(dialect == name, hit)
     return F.lit(False) if result is None else result.otherwise(F.lit(False))

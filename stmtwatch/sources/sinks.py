@@ -40,7 +40,8 @@ def upsert_allowlist(new: DataFrame, path: str, part: str | None = None) -> None
     part = part or new_part()
     stored = stored_allowlist(new.sparkSession, path, besides=part)
     added = learn_anti(new.select(*LIST_KEYS), stored).withColumn("perm", F.lit(1))
-    write_part(conform(added, schemas.ALLOWLIST), path, part)
+    if not added.isEmpty():
+        write_part(conform(added, schemas.ALLOWLIST), path, part)
 
 
 def write_policy(policies: DataFrame, path: str, version: int | None = None) -> int:
@@ -48,10 +49,10 @@ def write_policy(policies: DataFrame, path: str, version: int | None = None) ->
     return write_version(conform(policies, schemas.POLICY), path, version)
 
 
-def compact_alert_groups(spark, path: str) -> None:
-    storage.compact(read_alert_groups(spark, path), path)
+def compact_alert_groups(spark, path: str, keep: tuple[str, ...] = ()) -> None:
+    storage.compact(read_alert_groups(spark, path), path, keep)
 
 
-def compact_allowlist(spark, path: str) -> None:
+def compact_allowlist(spark, path: str, keep: tuple[str, ...] = ()) -> None:
     stored = stored_allowlist(spark, path).groupBy(*LIST_KEYS).agg(F.max("perm").alias("perm"))
-    storage.compact(conform(stored, schemas.ALLOWLIST), path)
+    storage.compact(conform(stored, schemas.ALLOWLIST), path, keep)

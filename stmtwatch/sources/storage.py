@@ -8,7 +8,6 @@ version; a path is never overwritten while it is read.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +28,27 @@ def new_part(kind: str = "job") -> str:
     return f"{kind}-{uuid.uuid4().hex}"
 
 
-def stream_part(batch_id: int) -> str:
-    return f"stream-{batch_id:012d}"
+def stream_part(batch_id: int, stream: str = "direct") -> str:
+    return f"stream-{stream}-{batch_id:012d}"
+
+
+def stream_name(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that a checkpoint belongs to, made up when the checkpoint is new.
+
+    It lives in the checkpoint, so a stream with another or a new checkpoint has another name and
+    never writes over parts of this one.
+    """
+    known = _folders(spark, f"{checkpoint}/stream-name", "")
+    if known:
+        return min(known)
+    name = uuid.uuid4().hex[:12]
+    files, target = _path(spark, f"{checkpoint}/stream-name/{name}")
+    files.mkdirs(target)
+    return name
+
+
+def streams_of(spark: SparkSession, path: str) -> list[str]:
+    return [name.removeprefix("stream=") for name in _folders(spark, path, "stream=")]
 
 
 def write_part(df: DataFrame, path: str, part: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -45,14 +63,16 @@ def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return [name for name in names if name.startswith(prefix)]
 
 
-def compact(df: DataFrame, path: str) -> None:
+def compact(df: DataFrame, path: str, keep: tuple[str, ...] = ()) -> None:
     """Replace all parts of a table by one. `df` is the table's folded content.
 
     The new part is complete before the old ones go, and reading both gives the same rows, so a
-    crash in between does no harm. Not to be run while a stream writes to the table.
+    crash in between does no harm. Parts that appear meanwhile stay. A micro-batch that is being
+    repeated must not lose its own part, so `keep` names the parts that stay, e.g. the newest ones
+    of running streams.
     """
     spark = df.sparkSession
-    old = _folders(spark, path, "part=")
+    old = [name for name in _folders(spark, path, "part=") if name.removeprefix("part=") not in keep]
     write_part(df, path, new_part("compact"))
     files, _ = _path(spark, path)
     for name in old:
@@ -84,8 +104,11 @@ def drop_versions_before(spark: SparkSession, path: str, version: int) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder for intermediate tables, in the shared folder that the cluster names. A local
-    temporary folder is used only where none is named, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared if shared else tempfile.mkdtemp(prefix="stmtwatch-")
-    return f"{root.rstrip('/')}/stmtwatch-{uuid.uuid4().hex}"
+    """A new folder for intermediate tables, in the shared folder that the cluster names.
+
+    Driver and executors of a cluster see different disks, so there is no fallback to a local one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared.rstrip('/')}/stmtwatch-{uuid.uuid4().hex}"

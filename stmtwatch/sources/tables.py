@@ -12,12 +12,17 @@ from stmtwatch.operators.alerts import alert_groups
 from stmtwatch.operators.policy import policy_catalog
 from stmtwatch.sources.storage import latest_version, part_exists
 
+_STORED = {"policy": schemas.POLICY, "endpoint": schemas.ENDPOINT, "allowlist": schemas.ALLOWLIST}
 _DEFAULTS = {"db_name": "", "db_user": "", "user_ip": "", "command": "query", "query": ""}
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of the schema, cast; columns that are missing become null."""
+def conform(df: DataFrame, schema: T.StructType, required: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of the schema, cast; columns that are missing become null, but for required
+    ones, without which the table is refused."""
     present = set(df.columns)
+    missing = [c for c in required if c not in present]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
 
     def column(f: T.StructField) -> Column:
         return (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
@@ -28,21 +33,19 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def as_query_log(df: DataFrame) -> DataFrame:
     """Any frame with log columns as a query log: typed, and without nulls in the text columns.
 
-    Timestamps without a zone are read in the session's zone, once, here. A column `ok` (did the
-    command succeed?) is kept if there is one.
+    Timestamps without a zone are read in the session's zone, once, here.
     """
-    fields = list(schemas.QUERY_LOG.fields)
-    if "ok" in df.columns:
-        fields.append(T.StructField("ok", T.BooleanType()))
-    log = conform(df, T.StructType(fields))
+    log = conform(df, schemas.QUERY_LOG, schemas.REQUIRED["query_log"])
     return log.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in _DEFAULTS.items()})
 
 
 def read_query_log(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """A query log from files. Text formats are read with the fixed schema, never inferred."""
-    reader = spark.read.format(fmt).options(**options)
-    if fmt not in ("parquet", "orc"):
-        reader = reader.schema(schemas.QUERY_LOG)
+    """A query log from files. Text formats are read with the fixed schema, never inferred; a
+    malformed line fails the job unless the option `mode` says otherwise."""
+    if fmt in ("parquet", "orc"):
+        reader = spark.read.format(fmt).options(**options)
+    else:
+        reader = spark.read.format(fmt).options(**{"mode": "FAILFAST", **options}).schema(schemas.QUERY_LOG)
     return as_query_log(reader.load(path))
 
 
@@ -50,6 +53,8 @@ def stream_query_log(
     spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = None, **options
 ) -> DataFrame:
     """The same as a stream over a folder that files are added to."""
+    if fmt not in ("parquet", "orc"):
+        options = {"mode": "FAILFAST", **options}
     reader = spark.readStream.format(fmt).schema(schemas.QUERY_LOG).options(**options)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -69,15 +74,17 @@ def read_table(
     reader = spark.read.format(fmt).options(**options)
     if fmt not in ("parquet", "orc", "jdbc"):
         reader = reader.schema(schema)
-    return conform(reader.load(path) if path is not None else reader.load(), schema)
+    required = next((schemas.REQUIRED[n] for n, s in _STORED.items() if s == schema), ())
+    return conform(reader.load(path) if path is not None else reader.load(), schema, required)
 
 
 def read_policies(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of the stored policies."""
+    """The newest complete version of the stored policies. Status and permissions default to 0."""
     version = latest_version(spark, path)
-    if version is None:
-        return read_table(spark, schemas.POLICY, path)
-    return conform(spark.read.parquet(f"{path}/version={version}"), schemas.POLICY)
+    stored = read_table(spark, schemas.POLICY, path if version is None else f"{path}/version={version}")
+    return stored.withColumns({
+        "status": F.coalesce("status", F.lit(0)), "perms": F.coalesce("perms", F.lit(0).cast("long")),
+    })
 
 
 def read_policy(policies: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stmtwatch import schemas
 from stmtwatch.config import RiskWeights
 from stmtwatch.operators.alerts import GROUP_KEYS, alerts
 from stmtwatch.operators.learning import learned
@@ -21,10 +22,13 @@ from stmtwatch.sources.sinks import upsert_alert_groups, upsert_allowlist, write
 from stmtwatch.sources.storage import (
     drop_versions_before,
     latest_version,
+    stream_name,
     stream_part,
+    streams_of,
+    write_part,
     write_version,
 )
-from stmtwatch.sources.tables import read_allowlist, read_endpoints, read_policies
+from stmtwatch.sources.tables import conform, read_allowlist, read_endpoints, read_policies
 
 # Fixed value: how often policies and allowlist are looked at again.
 REFRESH = "5 seconds"
@@ -33,7 +37,8 @@ REFRESH = "5 seconds"
 @dataclass(frozen=True)
 class Tables:
     """Where the tables live. `sessions` is only set if the log must be given its session; alerts
-    are stored in folders of one `alert_period` each."""
+    are stored in folders of one `alert_period` each. Connections that are silent for longer than
+    `session_idle` are forgotten."""
 
     policies: str
     endpoints: str
@@ -42,6 +47,7 @@ class Tables:
     alert_groups: str
     sessions: str | None = None
     alert_period: str = "day"
+    session_idle: str | None = "8 hours"
 
 
 def score_stream(log: DataFrame, context: ScoringContext) -> DataFrame:
@@ -49,49 +55,79 @@ def score_stream(log: DataFrame, context: ScoringContext) -> DataFrame:
     return score_log(log, context)
 
 
-def group_stream(alert_stream: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Alert groups kept up to date, for the update or complete mode. The state is one row per
-    group."""
-    if watermark is not None:
-        alert_stream = alert_stream.withWatermark("event_time", watermark)
+def group_stream(alert_stream: DataFrame) -> DataFrame:
+    """Alert groups kept up to date, for the update mode: each micro-batch emits the groups it
+    moved on. The state is one row per group, as many as the alert_groups table has."""
     return alert_stream.groupBy(*GROUP_KEYS).agg(
         F.max("event_time").alias("update_time"), F.max("status").cast("int").alias("status")
     )
 
 
-def _carried_sessions(batch: DataFrame, path: str, batch_id: int) -> DataFrame | None:
-    known = latest_version(batch.sparkSession, path)
-    if known is None:
+def run_groups(alert_stream: DataFrame, path: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Start keeping the groups table of an alert stream. Readers fold the parts."""
+    stream = stream_name(alert_stream.sparkSession, checkpoint)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not kept.isEmpty():
+                write_part(conform(kept, schemas.ALERT_GROUPS), path, stream_part(batch_id, stream))
+        finally:
+            kept.unpersist()
+
+    writer = group_stream(alert_stream).writeStream.outputMode("update").foreachBatch(store)
+    trigger = {"availableNow": True} if available_now else {"processingTime": REFRESH}
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _carried_sessions(batch: DataFrame, path: str, batch_id: int, stream: str) -> DataFrame | None:
+    """The sessions before a micro-batch: those that this stream carried on from the last one, or,
+    at its first one, the newest of all other streams over these tables."""
+    spark = batch.sparkSession
+    own = latest_version(spark, f"{path}/stream={stream}")
+    # A micro-batch that is being repeated has written its own version already.
+    if own is not None and min(own, batch_id) > 0:
+        return spark.read.parquet(f"{path}/stream={stream}/version={min(own, batch_id)}")
+    carried = None
+    for other in streams_of(spark, path):
+        newest = latest_version(spark, f"{path}/stream={other}")
+        if other != stream and newest is not None:
+            state = spark.read.parquet(f"{path}/stream={other}/version={newest}")
+            carried = state if carried is None else carried.unionByName(state)
+    if carried is None:
         return None
-    if known >= batch_id + 1:  # this micro-batch is being repeated
-        known = batch_id
-        if known == 0:
-            return None
-    return batch.sparkSession.read.parquet(f"{path}/version={known}")
+    newest = F.max_by(F.struct("carried_user", "carried_db", "carried_time"), F.coalesce("carried_time", F.lit(0).cast("timestamp")))
+    return carried.groupBy("conn_id").agg(newest.alias("s")).select("conn_id", "s.*")
 
 
-def session_stream(batch: DataFrame, batch_id: int, path: str) -> DataFrame:
+def session_stream(
+    batch: DataFrame, batch_id: int, path: str, stream: str = "direct", idle: str | None = None
+) -> DataFrame:
     """The rows of a micro-batch with their session's user and database.
 
-    The state, one row per open connection, is a versioned table: version n + 1 is written by
-    micro-batch n. A connection's row goes when it quits. Unlike a keyed state operator this splits
-    the rows of a busy connection over many tasks.
+    Micro-batches come in the order of `seq`. The state, one row per connection that has a user or
+    a database, is a versioned table per stream: version n + 1 is written by micro-batch n. A
+    connection's row goes when it quits or is silent for longer than `idle`. Unlike a keyed state
+    operator this splits the rows of a busy connection over many tasks.
     """
-    carried = _carried_sessions(batch, path, batch_id)
+    carried = _carried_sessions(batch, path, batch_id, stream)
     shaped = with_session_context(batch, carried)
-    write_version(session_state(batch, carried), path, batch_id + 1)
+    own = f"{path}/stream={stream}"
+    write_version(session_state(batch, carried, idle), own, batch_id + 1)
     # This micro-batch may be repeated, an earlier one may not.
-    drop_versions_before(batch.sparkSession, path, batch_id)
+    drop_versions_before(batch.sparkSession, own, batch_id)
     return shaped
 
 
 def score_batch(
-    rules: CompiledRules, tables: Tables, weights: RiskWeights = RiskWeights(), now: Column | None = None
+    rules: CompiledRules, tables: Tables, weights: RiskWeights = RiskWeights(), now: Column | None = None,
+    stream: str = "direct",
 ) -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch, for `foreachBatch`.
 
     Policies and allowlist are read anew, so what one micro-batch learns holds from the next one
-    on. All it writes goes to parts named after its number: a repeated micro-batch overwrites them.
+    on. All it writes goes to parts named after the stream and its number: a repeated micro-batch
+    overwrites them, another stream over the same tables does not. Empty parts are not written.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -99,19 +135,21 @@ def score_batch(
         context = ScoringContext(
             policies=expire_learning(read_policies(spark, tables.policies), now),
             endpoints=read_endpoints(spark, tables.endpoints),
-            allowlist=read_allowlist(spark, tables.allowlist, besides=stream_part(batch_id)),
+            allowlist=read_allowlist(spark, tables.allowlist, besides=stream_part(batch_id, stream)),
             rules=rules,
             weights=weights,
         )
         if tables.sessions is not None:
-            batch = session_stream(batch, batch_id, tables.sessions)
+            batch = session_stream(batch, batch_id, tables.sessions, stream, tables.session_idle)
         # Statements that neither alert nor teach are dropped before anything is kept.
         scored = score_log(batch, context).filter("alert or learn").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            raised = alerts(scored)
-            write_alerts(raised, tables.alerts, stream_part(batch_id), tables.alert_period)
-            upsert_alert_groups(raised, tables.alert_groups, stream_part(batch_id))
-            upsert_allowlist(learned(scored), tables.allowlist, stream_part(batch_id))
+            part, raised = stream_part(batch_id, stream), alerts(scored)
+            if not raised.isEmpty():
+                write_alerts(raised, tables.alerts, part, tables.alert_period)
+                upsert_alert_groups(raised, tables.alert_groups, part)
+            if not scored.filter("learn").isEmpty():
+                upsert_allowlist(learned(scored), tables.allowlist, part)
         finally:
             scored.unpersist()
 
@@ -125,9 +163,12 @@ def run_scoring(
     checkpoint: str,
     weights: RiskWeights = RiskWeights(),
     available_now: bool = False,
+    now: Column | None = None,
 ) -> StreamingQuery:
-    """Start the scoring of a log stream. With `available_now` it ends when the log is read."""
-    writer = log.writeStream.foreachBatch(score_batch(rules, tables, weights)).option(
+    """Start the scoring of a log stream. With `available_now` it ends when the log is read. `now`
+    is the time at which learning periods are looked at, by default the current one."""
+    stream = stream_name(log.sparkSession, checkpoint)
+    writer = log.writeStream.foreachBatch(score_batch(rules, tables, weights, now, stream)).option(
         "checkpointLocation", checkpoint
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": REFRESH}

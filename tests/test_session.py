@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stmtwatch.operators.session import command_to_sql, inspectable, session_state, with_session_context
 
@@ -26,6 +27,8 @@ def _walk(rows):
         now = state.get(conn, ("", ""))
         if command in ("login", "change_user"):
             now = (user, db or "")
+        elif command == "quit":
+            now = ("", "")
         elif command == "use_db" and ok is not False:
             now = (now[0], db or "")
         state[conn] = now
@@ -42,20 +45,42 @@ def test_context_equals_a_loop(spark, block):
     assert got == want
 
 
-def test_context_over_two_logs(spark):
-    rows = [r for r in _log() if r[2] != "quit"]
+@pytest.mark.parametrize("cut", [1, 500, 1000, 2999])
+def test_context_over_two_logs(spark, cut):
+    rows = _log()
     want, _ = _walk(rows)
-    first = spark.createDataFrame(rows[:1000], COLUMNS)
-    second = spark.createDataFrame(rows[1000:], COLUMNS)
+    first = spark.createDataFrame(rows[:cut], COLUMNS)
+    second = spark.createDataFrame(rows[cut:], COLUMNS)
     shaped = with_session_context(second, session_state(first), block=300)
     got = {r.seq: (r.db_user, r.db_name) for r in shaped.collect()}
-    assert got == {seq: value for seq, value in want.items() if seq in got} and len(got) == len(rows) - 1000
+    assert got == {seq: value for seq, value in want.items() if seq in got} and len(got) == len(rows) - cut
 
 
 def test_quit_ends_a_session(spark):
     rows = [(1, "a", "login", "u", "d", None), (2, "b", "login", "v", "e", None), (3, "a", "quit", None, None, None)]
-    state = session_state(spark.createDataFrame(rows, COLUMNS)).collect()
-    assert [tuple(r) for r in state] == [("b", "v", "e")]
+    log = spark.createDataFrame(rows + [(4, "a", "query", None, None, None)], COLUMNS)
+    state = session_state(log).collect()
+    assert [(r.conn_id, r.carried_user, r.carried_db) for r in state] == [("b", "v", "e")]
+    shaped = {r.seq: (r.db_user, r.db_name) for r in with_session_context(log).collect()}
+    assert shaped == {1: ("u", "d"), 2: ("v", "e"), 3: ("", ""), 4: ("", "")}
+
+
+def test_rows_without_place_are_no_session(spark):
+    rows = [
+        (None, "a", "login", "u", "d", None), (None, "a", "query", "x", "y", None), (1, None, "login", "v", "e", None),
+        (2, None, "query", "x", "y", None), (3, "a", "query", "x", "y", None),
+    ]
+    log = spark.createDataFrame(rows, COLUMNS)
+    shaped = sorted((r.seq or 0, r.conn_id or "", r.command, r.db_user) for r in with_session_context(log).collect())
+    assert shaped == [(0, "a", "login", "u"), (0, "a", "query", ""), (1, "", "login", "v"), (2, "", "query", ""), (3, "a", "query", "")]
+    assert session_state(log).count() == 0
+
+
+def test_silent_sessions_are_forgotten(spark):
+    rows = [(1, "a", "login", "u", "d", None, 0), (2, "b", "login", "v", "e", None, 5000), (3, "b", "query", None, None, None, 9000)]
+    log = spark.createDataFrame(rows, COLUMNS + ", at long").withColumn("event_time", F.timestamp_seconds("at"))
+    assert {r.conn_id for r in session_state(log, idle="1 hour").collect()} == {"b"}
+    assert {r.conn_id for r in session_state(log, idle="3 hours").collect()} == {"a", "b"}
 
 
 def test_commands(spark):

@@ -102,6 +102,43 @@ def test_messages_become_a_log(spark):
     assert (row.seq, row.command, row.db_name, row.query) == (5, "query", "", "select 1")
 
 
+def test_streams_do_not_share_parts(spark, rules, paths):
+    statements = (("login", "ann", "lab", ""), ("query", "", "", "drop table a"))
+    score_batch(rules, paths, stream="one")(_batch(spark, 0, *statements), 0)
+    score_batch(rules, paths, stream="two")(_batch(spark, 10, ("query", "", "", "drop table b")), 0)
+    # The second stream goes on with ann's session and adds to what the first one stored.
+    assert _levels(spark, paths) == [("ann", 2, "drop table a"), ("ann", 2, "drop table b")]
+    assert {r.query for r in tables.read_allowlist(spark, paths.allowlist).collect()} == {"drop table a", "drop table b"}
+
+
+def test_a_checkpoint_names_its_stream(spark, tmp_path):
+    first = storage.stream_name(spark, f"{tmp_path}/one")
+    assert storage.stream_name(spark, f"{tmp_path}/one") == first != storage.stream_name(spark, f"{tmp_path}/two")
+
+
+def test_many_batches_leave_few_folders(spark, rules, paths):
+    run = score_batch(rules, paths)
+    for number in range(6):
+        run(_batch(spark, 10 * number, ("login", "ann", "lab", ""), ("query", "", "", "drop table a")), number)
+    assert len(storage._folders(spark, paths.allowlist, "part=")) == 1
+    assert len(storage._folders(spark, paths.alerts, "part=")) == 1
+    assert len(storage._folders(spark, f"{paths.sessions}/stream=direct", "version=")) <= 2
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    class Nameless:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        storage.scratch_folder(Nameless())
+
+
+def test_a_table_without_its_columns_is_refused(spark):
+    with pytest.raises(ValueError):
+        conform(spark.range(1), POLICY, ("proxy_id",))
+
+
 def test_versions_of_a_table(spark, tmp_path):
     path = f"{tmp_path}/t"
     assert storage.latest_version(spark, path) is None
