@@ -25,11 +25,13 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+ENTROPY_TOKENS = 1000
 
 
 @dataclass(frozen=True)
 class Band:
-    """What is accepted for one script. Entropy is relative to that of as many different tokens."""
+    """What is accepted for one script. Entropy is relative to that of as many different tokens, of
+    ENTROPY_TOKENS at most: beyond that, ordinary text has hardly more."""
 
     min_chars_per_token: float
     max_chars_per_token: float
@@ -39,7 +41,7 @@ class Band:
 
 # By script. Wide: ordinary text lies well inside, noise and endless repetition outside.
 BANDS = {
-    "latin": Band(1.6, 6.5, 0.15, 0.40),
+    "latin": Band(1.6, 6.5, 0.15, 0.60),
     "greek_cyrillic": Band(0.9, 5.0, 0.30, 0.40),
     "east_asian": Band(0.4, 3.0, 0.75, 0.40),
     "other": Band(0.25, 6.5, 0.95, 0.35),
@@ -89,7 +91,8 @@ def token_measures(text: str, ids: np.ndarray, is_byte: np.ndarray) -> tuple[flo
         return 0.0, 0.0, 0.0
     counts = np.unique(ids, return_counts=True)[1] / len(ids)
     entropy = float(-(counts * np.log(counts)).sum())
-    return len(text) / len(ids), float(is_byte[ids].mean()), entropy / np.log(len(ids)) if len(ids) > 1 else 0.0
+    most = np.log(min(len(ids), ENTROPY_TOKENS))
+    return len(text) / len(ids), float(is_byte[ids].mean()), entropy / most if len(ids) > 1 else 0.0
 
 
 SCHEMA = T.StructType([
