@@ -104,7 +104,8 @@ def stream_query_log(spark, sf_dir):
 @query
 def messages(spark, sf_dir):
     """The log of sessions as JSON messages."""
-    sent = demo.session_log(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value"))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    sent = demo.session_log(spark, sf_dir).select(F.to_json(F.struct("*"), exact).alias("value"))
     return naive(tables.query_log_from_json(sent))
 
 
@@ -498,7 +499,7 @@ def expire_learning(spark, sf_dir):
 # --- streaming ----------------------------------------------------------------------------------
 
 
-BATCHES = 4
+BATCHES = 3
 
 
 def _in_files(log: DataFrame, batch: Column) -> str:
@@ -523,7 +524,7 @@ def _tables(spark: SparkSession) -> st.Tables:
 
 
 def _stream_into(log: DataFrame, paths: st.Tables) -> None:
-    """Score a log as a stream of four micro-batches, at a time when all policies still learn."""
+    """Score a log as a stream of three micro-batches, at a time when all policies still learn."""
     spark = log.sparkSession
     stream = tables.stream_query_log(spark, _in_files(log, F.col("seq") % BATCHES), max_files=1)
     st.run_scoring(

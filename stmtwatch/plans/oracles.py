@@ -172,10 +172,10 @@ def _chained(sql: str) -> str:
 
 _ALERT_COLUMNS = "event_time, risk, block, dbuser, userip, query, reason"
 _ALERTS = _chained(f"select {_ALERT_COLUMNS} from alert_rows")
-# A log that comes in four micro-batches: what a learning policy has met in one of them is listed
+# A log that comes in three micro-batches: what a learning policy has met in one of them is listed
 # from the next one on.
 _BY_BATCH = """, by_batch as (
- select *, seq % 4 as batch, min(case when learn then seq % 4 end)
+ select *, seq % 3 as batch, min(case when learn then seq % 3 end)
   over (partition by policy_proxy_id, policy_db_name, pattern) as learned_in from verdict)
 """
 _RAISED = "alert and not (learn and batch > learned_in)"
