@@ -1,8 +1,9 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-Words are lower-cased runs of letters and digits. The embedding of a word is the sum of two rows of
-hashed tables, so two words are only confused if both hashes meet. Filters over one, two and three
-words are max-pooled over the whole text; a logistic layer gives the logit.
+Words are lower-cased runs of letters and digits. The embedding of a word is the sum of three rows of
+hashed tables, one by the word and two by its first letters, so that inflected forms share what is
+known of their stem. Filters over one, two and three words are max-pooled over the whole text; a
+logistic layer gives the logit.
 
 The classifier is fitted on the driver on at most `max_rows` labelled documents, taken by hash;
 scoring covers every whole text and shuffles nothing. The first coordinate of the tables starts from
@@ -30,10 +31,14 @@ from pyspark.sql import functions as F
 from stmtwatch.llm.common import whole_text
 
 BUCKETS = 1 << 16
+# The word, and so many of its first letters.
+PARTS = (None, 8, 6)
+# Words that a task remembers at most.
+REMEMBERED = 200_000
 DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-MAX_ROWS = 8000
+MAX_ROWS = 6000
 EPOCHS = 4
 BATCH = 32
 RATE = 0.01
@@ -48,24 +53,36 @@ FUNCTION_WORDS = {
 }
 
 
-def hashed_words(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, str]:
-    """Two hashes of every word, packed in one long, and the guessed language."""
+def _packed(word: str, buckets: int) -> int:
+    """The buckets of a word's parts, packed in one long."""
+    out = 0
+    for part in PARTS:
+        out = out * buckets + zlib.crc32(f"{part} {word[:part]}".encode("utf-8", "replace")) % buckets
+    return out
+
+
+def hashed_words(text: str, buckets: int = BUCKETS, known: dict[str, int] | None = None) -> tuple[np.ndarray, str]:
+    """The packed buckets of every word, and the guessed language. `known` remembers words."""
     words = _WORDS.findall(text.lower())
-    crc = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
-    mixed = crc * np.uint64(0x9E3779B97F4A7C15)
-    first, second = crc % np.uint64(buckets), (mixed >> np.uint64(32)) % np.uint64(buckets)
-    found = {lang: sum(map(words.count, some)) if len(words) < 40 else 0 for lang, some in FUNCTION_WORDS.items()}
-    if len(words) >= 40:
-        for w in words:
-            for lang, some in FUNCTION_WORDS.items():
-                found[lang] += w in some
+    known = {} if known is None else known
+    if len(known) > REMEMBERED:
+        known.clear()
+    for word in words:
+        if word not in known:
+            known[word] = _packed(word, buckets)
+    found = {lang: sum(w in some for w in words) for lang, some in FUNCTION_WORDS.items()}
     best = max(found, key=found.get)
-    return (first * np.uint64(buckets) + second).astype(np.int64), best if found[best] else "other"
+    return np.fromiter(map(known.__getitem__, words), np.int64, len(words)), best if found[best] else "other"
+
+
+def unpacked(words: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """The bucket of every word in each table."""
+    return [words // buckets ** (len(PARTS) - 1 - t) % buckets for t in range(len(PARTS))]
 
 
 @dataclass
 class Model:
-    tables: np.ndarray  # 2 x buckets x dimensions
+    tables: np.ndarray  # parts x buckets x dimensions
     filters: list[np.ndarray]  # width x dimensions x filters
     bias: np.ndarray
     weights: np.ndarray
@@ -82,7 +99,7 @@ class Model:
             packed[start: start + len(doc)] = doc
         real = packed >= 0
         vectors = np.zeros((len(packed), self.tables.shape[2]), np.float32)
-        vectors[real] = self.tables[0][packed[real] // buckets] + self.tables[1][packed[real] % buckets]
+        vectors[real] = sum(table[at] for table, at in zip(self.tables, unpacked(packed[real], buckets)))
         blocked = ~real
         blocked[starts] = False
         pooled, places = [], []
@@ -111,18 +128,18 @@ class Model:
 
 
 def _log_odds(docs: list[np.ndarray], labels: np.ndarray, buckets: int, prior: float = 4.0) -> np.ndarray:
-    """Shrunk log odds of the label for both hash tables, from documents that hold the bucket."""
-    out = np.zeros((2, buckets), np.float32)
+    """Shrunk log odds of the label for all tables, from documents that hold the bucket."""
+    out = np.zeros((len(PARTS), buckets), np.float32)
     base = labels.mean()
-    for t in range(2):
+    for t in range(len(PARTS)):
         with_one, with_any = np.zeros(buckets), np.zeros(buckets)
         for doc, label in zip(docs, labels):
-            met = np.unique(doc // buckets if t == 0 else doc % buckets)
+            met = np.unique(unpacked(doc, buckets)[t])
             with_any[met] += 1
             with_one[met] += label
         rate = (with_one + prior * base) / (with_any + prior)
         out[t] = np.log(rate / (1 - rate)) - np.log(base / (1 - base))
-    return out / 2
+    return out / len(PARTS)
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, languages: list[str], buckets: int = BUCKETS, seed: int = 0) -> Model | None:
@@ -134,7 +151,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, languages: list[str], buck
     if len(set(labels[~held].tolist())) < 2:
         held[:] = False
     fitted = np.flatnonzero(~held)
-    tables = random.normal(0, 0.01, (2, buckets, DIMENSIONS)).astype(np.float32)
+    tables = random.normal(0, 0.01, (len(PARTS), buckets, DIMENSIONS)).astype(np.float32)
     tables[:, :, 0] = _log_odds([docs[i] for i in fitted], labels[fitted], buckets)
     filters = [random.normal(0, 0.1, (w, DIMENSIONS, FILTERS)).astype(np.float32) for w in WIDTHS]
     for taps in filters:
@@ -170,8 +187,8 @@ def train(docs: list[np.ndarray], labels: np.ndarray, languages: list[str], buck
                     back = np.einsum("df,ef->dfe", flow, taps[j]).reshape(-1, DIMENSIONS)
                     words = packed[where.reshape(-1)]
                     known = words >= 0
-                    np.add.at(model.tables[0], words[known] // buckets, -RATE * 5 * back[known])
-                    np.add.at(model.tables[1], words[known] % buckets, -RATE * 5 * back[known])
+                    for table, bucket in zip(model.tables, unpacked(words[known], buckets)):
+                        np.add.at(table, bucket, -RATE * 5 * back[known])
                 new_filters.append(adam(k, taps, gradient).astype(np.float32))
             n = len(filters)
             model.weights, model.bias, model.offset = (
@@ -218,8 +235,9 @@ def fit(
     found = docs.select(F.col(key).alias("_id"), whole_text(text).alias("text")).join(some, F.col("_id") == F.col("_key"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            made = [hashed_words(t.as_py()) for t in batch.column(1)]
+            made = [hashed_words(t.as_py(), known=known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array([m[0] for m in made], pa.list_(pa.int64())),
                 pa.array([m[1] for m in made], pa.string()),
@@ -241,10 +259,11 @@ def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> Data
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
         for texts in batches:
             out = []
             for at in range(0, len(texts), 64):
-                made = [hashed_words(t) for t in texts.iloc[at: at + 64]]
+                made = [hashed_words(t, known=known) for t in texts.iloc[at: at + 64]]
                 out.append(model.scores([m[0] for m in made], [m[1] for m in made]))
             yield pd.Series(np.concatenate(out) if out else np.empty(0))
 

@@ -75,13 +75,13 @@ def test_toxicity_on_held_out(spark, large):
 
 def test_toxicity_pools_like_a_loop():
     r = np.random.default_rng(0)
-    docs = [r.integers(0, 64 * 64, n) for n in (0, 1, 2, 3, 40)]
+    docs = [r.integers(0, 64 ** 3, n) for n in (0, 1, 2, 3, 40)]
     model = toxicity.Model(
-        r.normal(size=(2, 64, 4)).astype(np.float32), [r.normal(size=(w, 4, 3)).astype(np.float32) for w in toxicity.WIDTHS],
+        r.normal(size=(3, 64, 4)).astype(np.float32), [r.normal(size=(w, 4, 3)).astype(np.float32) for w in toxicity.WIDTHS],
         r.normal(size=9).astype(np.float32), r.normal(size=9).astype(np.float32), 0.3,
     )
     for doc, got in zip(docs, model.logits(docs)):
-        vectors = [model.tables[0][x // 64] + model.tables[1][x % 64] for x in doc] or [np.zeros(4)]
+        vectors = [model.tables[0][x // 4096] + model.tables[1][x // 64 % 64] + model.tables[2][x % 64] for x in doc] or [np.zeros(4)]
         padded = vectors + [np.zeros(4)] * 2
         pooled = np.concatenate([
             np.max([sum(padded[i + j] @ taps[j] for j in range(len(taps))) for i in range(len(vectors))], axis=0) for taps in model.filters
