@@ -33,7 +33,7 @@ MAX_LABELS = 50_000
 # Without a given k, the sample is as large as the number of documents above this log weight.
 LEAST_LOG_WEIGHT = -10.0
 # Strength with which a bucket's ratio is drawn to 1, in n-grams per bucket.
-SMOOTHING = 4.0
+SMOOTHING = 200.0
 
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 

@@ -43,7 +43,7 @@ def test_importance_by_hand(spark):
         if (i, 1) in labels:
             np.add.at(target, importance.hashed_ngrams(t), 1)
     share = (raw + 1) / (raw + 1).sum()
-    want = np.log((target + 4.0 * B * share) / (target.sum() + 4.0 * B) / share)
+    want = np.log((target + importance.SMOOTHING * B * share) / (target.sum() + importance.SMOOTHING * B) / share)
     assert np.allclose(ratio, want)
     out = importance.importance_sample(frame, marks, k=40).collect()
     ranked = sorted((r.noisy for r in out), reverse=True)
