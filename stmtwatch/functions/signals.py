@@ -133,6 +133,13 @@ def outline(toks: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.transform(toks, letter), " "), F.lit(" "))
 
 
+def shape(counted: Column) -> Column:
+    """What the flags of a statement depend on, but for `has_separator`: the part of the outline that
+    counts, with at most two of the equal constants of a list. The first and the last stay, as the
+    words around a list may belong to them."""
+    return _replace(F.concat(counted, F.lit(" ")), (r" ([0\"']) ,(?: \1 ,(?= \1 ))++", " $1 ,"))
+
+
 def verb(outlined: Column) -> Column:
     return F.lower(F.regexp_extract(outlined, r"^(?: #)*+ ([^# ]\S*)", 1))
 
@@ -211,15 +218,6 @@ def starred_tables(names: Column) -> Column:
     return F.when(F.contains(names, F.lit(". *")), starred).otherwise(_no_names())
 
 
-def _true_constants(dialect: Column, rules: CompiledRules, use) -> Column:
-    """`use(regex)` with the regex of the row's dialect, or null."""
-    result = F.when(F.lit(False), use("(?!)"))
-    for name in sorted({d for d, category in rules if category == "true constants"}):
-        listed = "|".join(r.removeprefix("^").removesuffix("$") for r in rules[(name, "true constants")])
-        result = result.when(dialect == name, use(rf" :(?:{listed})(?= )"))
-    return result
-
-
 def compared_alike(names: Column) -> Column:
     """The named outline with one sign for all comparisons, IN included."""
     return _replace(
@@ -254,10 +252,12 @@ def reduced(text: Column) -> Column:
 
 
 def with_constants(text: Column, dialect: Column, rules: CompiledRules) -> Column:
-    """Names that stand for constants count as such."""
-    replaced = _true_constants(dialect, rules, lambda listed: _replace(text, (listed, " @")))
-    listed = _true_constants(dialect, rules, lambda listed: text.rlike("(?i)" + listed))
-    return F.when(listed, replaced).otherwise(text)
+    """Names that stand for constants in the row's dialect count as such."""
+    replaced = F.when(F.lit(False), text)
+    for name in sorted({d for d, category in rules if category == "true constants"}):
+        listed = "|".join(r.removeprefix("^").removesuffix("$") for r in rules[(name, "true constants")])
+        replaced = replaced.when(dialect == name, _replace(text, (rf" :(?:{listed})(?= )", " @")))
+    return F.coalesce(replaced, text)
 
 
 # A CASE without parentheses and other CASEs inside.
@@ -278,6 +278,32 @@ def _tidied(text: Column) -> Column:
     )
 
 
+def _undoubled(text: Column) -> Column:
+    """Parentheses in parentheses in parentheses: the inner and the outer ones say it all.
+
+    The text is cut behind each run of closing parentheses; a piece then holds one innermost group,
+    and as many pairs around it as the shorter of its two runs has.
+    """
+    def fewer(piece: Column) -> Column:
+        head = F.regexp_extract(piece, r"\A.* \(", 0)  # up to the last opening one
+        tail = F.substring(piece, F.length(head) + 1, F.length(piece))
+        opening = F.length(F.regexp_extract(head, r"(?<! \()(?: \()++\z", 0))
+        closing = F.length(F.regexp_extract(tail, r"(?<! \))((?: \))++) ?\z", 1))
+        spare = F.greatest(F.least(opening, closing) - 4, F.lit(0))
+        within = F.length(F.rtrim(tail)) - spare
+        fewer = F.concat(
+            F.substring(piece, F.lit(1), F.length(head) - spare),
+            F.substring(tail, F.lit(1), within),
+            F.substring(tail, within + spare + 1, F.length(tail)),
+        )
+        return F.when(spare > 0, fewer).otherwise(piece)
+
+    pieces = F.split(text, r"(?<= \))(?= (?!\)))")
+    return F.when(
+        F.contains(text, F.lit(" ( ( (")), F.array_join(F.transform(pieces, fewer), "")
+    ).otherwise(text)
+
+
 def _unwrapped(text: Column) -> Column:
     """Take out the innermost CASEs, subselects and other groups."""
     return _replace(
@@ -298,7 +324,9 @@ def flattened(text: Column) -> Column:
 
     Each round takes out one depth of nesting, so there are at most as many rounds as words that
     nest. The first round that finds nothing to do closes the state; later ones return it as it is.
+    Parentheses around parentheses go beforehand, however many.
     """
+    text = _undoubled(text)
     rounds = F.regexp_count(text, F.lit(rf"(?i) (?:\(|case|{_INNER_CLAUSE})(?= )"))
     nothing = _no_names()
 

@@ -51,13 +51,19 @@ def with_tokens(df: DataFrame, col: str = "query", only: Column | None = None) -
 def outline_flags(df: DataFrame, rules: CompiledRules) -> DataFrame:
     """Add the flags that follow from the outline alone: all but `has_separator`."""
     dialect = F.col("db_type")
-    staged = (
+    worded = (
         df.withColumn("_stated", S.statement(F.col("outline"), F.col("verb")))
         .withColumn("_names", S.named(F.col("_stated")))
         .withColumn("_alike", S.compared_alike(F.col("_names")))
         .withColumn("_simple", S.simplified(F.col("_alike")))
-        .withColumn("_reduced", S.reduced(F.col("_simple")))
-        .withColumn("_known", S.with_constants(F.col("_reduced"), dialect, rules))
+    )
+    # In one piece the generated method would exceed the 8,000 bytes that the JIT compiler takes.
+    worded = computed_once(worded, _names=F.col("_names"), _simple=F.col("_simple"))
+    known = worded.withColumn("_reduced", S.reduced(F.col("_simple"))).withColumn(
+        "_known", S.with_constants(F.col("_reduced"), dialect, rules)
+    )
+    staged = (
+        computed_once(known, _known=F.col("_known"))
         .withColumn("_flat", S.flattened(F.col("_known")))
         .withColumn("_tables", F.concat(S.tables(F.col("_flat.selects")), S.starred_tables(F.col("_names"))))
         .withColumn("_compared", S.comparisons(F.col("_flat.selects"), F.col("_flat.cases")))
@@ -87,23 +93,26 @@ def with_signals(
 def with_signals_by_outline(
     df: DataFrame, rules: CompiledRules, only: Column | None = None, col: str = "query"
 ) -> DataFrame:
-    """The same flags, but each distinct outline is analysed once and its flags are joined back.
-
-    Statements of one shape share their outline whatever their literals, so a log of any size has
-    fewer. They are found by a partial aggregate: an outline that makes up a third of the log reaches
-    the shuffle once per task. The analysed outlines are written to the shared folder, which runs
-    a job now; their size is measured there before they are broadcast.
+    """The same flags, but each distinct shape is analysed once and its flags are joined back.
+
+    A shape is the part of the outline that counts, with lists of equal constants shortened: lists
+    and multi-row inserts of any length share one. Shapes are found by a partial aggregate, so one
+    that makes up a third of the log reaches the shuffle once per task. The analysed shapes are
+    written to the shared folder, which runs a job now; their size is measured there before they
+    are broadcast. The join has a hash in front of the text, which is compared only where it meets
+    its like.
     """
-    keys = ["db_type", "outline"]
-    rows = with_tokens(df, col, only)
-    known = ["db_type", "outline", "verb", "counted"]
-    distinct = rows.select(*keys).filter(F.col("outline").isNotNull()).distinct()
-    shapes = distinct.withColumn("verb", S.verb(F.col("outline"))).withColumn(
-        "counted", S.window(F.col("outline"), F.col("verb"))
-    )
+    keys = ["db_type", "_shape_hash", "_shape"]
+    shape = S.shape(F.col("counted"))
+    rows = with_tokens(df, col, only).drop("outline", "verb")
+    rows = computed_once(rows.withColumn("_shape", shape), _shape=F.col("_shape"), counted=F.col("counted"))
+    rows = rows.withColumn("_shape_hash", F.xxhash64("_shape"))
+    distinct = rows.select(*keys).filter(F.col("_shape").isNotNull()).distinct()
+    shapes = distinct.withColumn("outline", F.col("_shape")).withColumn("counted", F.col("_shape"))
     flags = [f for f in S.FLAGS if f != "has_separator"]
     path = scratch_folder(df.sparkSession)
-    outline_flags(shapes.select(*known), rules).select(*keys, *flags).write.parquet(path)
+    worded = shapes.withColumn("verb", S.verb(F.col("outline")))
+    outline_flags(worded, rules).select(*keys, *flags).write.parquet(path)
     analysed = df.sparkSession.read.parquet(path)
     joined = lookup_join(rows, analysed, keys)
     values = {f: F.coalesce(F.col(f), F.lit(False)) for f in flags}

@@ -56,6 +56,20 @@ def test_costly_columns_are_evaluated_once(spark, sf_dir):
     assert plan.count("regexp_extract_all(CASE WHEN NOT listed") == 1
 
 
+def test_generated_methods_are_small_enough_for_the_jit_compiler(spark, sf_dir):
+    log = _stored_log(spark, sf_dir)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else nothing is generated before it runs
+    try:
+        plan = score_log(log, catalog.context(spark))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    generated = debug.codegenStringSeq(plan)
+    sizes = [generated.apply(i)._3().maxMethodCodeSize() for i in range(generated.size())]
+    assert 0 < max(sizes) < 8000, sizes
+
+
 def test_groups_are_aggregated_before_the_shuffle(spark, sf_dir):
     raised = al.alerts(score_log(_stored_log(spark, sf_dir), catalog.context(spark)))
     plan = _plan(al.alert_groups(raised))

@@ -5,11 +5,13 @@ still raised here, e.g. in nested AND/OR lists, after decimals and after CAST co
 subselect stands for its select list, so `id = (select max(id) from u)` compares like with like.
 """
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from stmtwatch.functions import signals as S
-from stmtwatch.operators.risk import with_signals, with_signals_by_outline
+from stmtwatch.operators.risk import with_signals, with_signals_by_outline, with_tokens
 
 LETTERS = {
     "C": "has_comment", "S": "has_sensitive_table", "M": "has_separator", "O": "has_or",
@@ -91,6 +93,12 @@ CASES = [
     ("select * from `users`", "S"),
     ("select * from `my db`.`users`", "S"),
     ("select * from t use index (users) where a=5", ""),
+    # constants of a list next to other words
+    ("select (a) 'x', 'y', 'z', 'u' from t where 1,1,1,1 = 1,1,1,1", "T"),
+    (W + "pwd in ('','','','')", "E"),
+    (W + "pwd in ('','','','a')", ""),
+    (W + "a in (1,1,1,1,'x','x','x')", ""),
+    ("select 5,5,5,5,5;", ""), ("select 'a','b','c' x, 'd' from users;", "S"),
     # functions
     ("select mid(a,1,2) from t", "B"),
     ("select mid from t", ""),
@@ -130,6 +138,39 @@ def test_deep_nesting(spark, rules):
     assert all(want == flags for (_, want), flags in got.items()), got
 
 
+def test_thousands_of_parentheses(spark, rules):
+    n = 6000
+    cases = [(W + "(" * n + p + ")" * n, want) for p, want in (("1=1", "T"), ("a=b", ""), ("a=1 or a=a", "OT"))]
+    cases += [(W + "(" * n + "1=1", "T"), (W + "b=1 and " + "(" * n + "a" + ")" * (n - 5) + "=a)))))", "T")]
+    start = time.perf_counter()
+    got = flagged(spark, cases, rules, with_signals)
+    assert all(want == flags for (_, want), flags in got.items()), [(q[:60], w, f) for (q, w), f in got.items()]
+    # 24.7 s for one of them at one round per parenthesis.
+    assert time.perf_counter() - start < 20
+
+
+def test_fewer_parentheses_of_a_run(spark):
+    cases = [
+        (" a ( ( ( ( b ) ) ) ) c ", " a ( ( b ) ) c "),
+        (" ( ( ( b ) ) c ) ", " ( ( ( b ) ) c ) "),
+        (" ( ( ( ( b ) ) ) c ) ", " ( ( ( b ) ) c ) "),
+        (" ( ( ( ) ) ) ( ( ( ( x y ) ) ) ) ", " ( ( ) ) ( ( x y ) ) "),
+        (" ( ( ( a ", " ( ( ( a "), (" ( ( ( ", " ( ( ( "), (" a ) ) ) ", " a ) ) ) "), ("", ""),
+        (" ( ( ( a ) b ) ) ) ", " ( ( ( a ) b ) ) ) "),
+    ]
+    df = spark.createDataFrame(cases, "given string, want string")
+    rows = df.select("want", S._undoubled(F.col("given")).alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == []
+
+
+def test_lists_of_any_length_have_one_shape(spark, rules):
+    lists = [(W + f"a in ({', '.join(['5'] * n)})",) for n in range(2, 60)]
+    inserts = [(f"insert into t values {', '.join(['(1, 2)'] * n)}",) for n in range(1, 60)]
+    for texts in (lists, inserts):
+        rows = with_tokens(spark.createDataFrame(texts, "query string"))
+        assert rows.select(S.shape(F.col("counted"))).distinct().count() == 1
+
+
 def test_outline_hides_literals(spark):
     texts = [("select a from t where b = 'x y' and c=5",), ("select a from t where b =\t'z' and c=0x1f",)]
     outlines = spark.createDataFrame(texts, "query string").select(S.outline(S.tokens(F.col("query"))))
