@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stmtwatch.llm import bpe, exact_dedup, fertility, importance, mixing, pii, simhash, suffix_dedup, toxicity, warc
+from stmtwatch.llm import (
+    alignment, bpe, exact_dedup, fertility, importance, lexical, mixing, pii, simhash, suffix_dedup, toxicity, warc,
+    winnowing,
+)
 from stmtwatch.llm.common import checkpointed, table, whole_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,7 +113,57 @@ def op9_pii(spark, sf_dir):
     )
 
 
+@query
+def op11_winnowing(spark, sf_dir):
+    found = winnowing.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        winnowing.as_text("fingerprint").alias("fingerprint"),
+        winnowing.as_text("edited_fingerprint").alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+@query
+def op12_lexical(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    files = {
+        "a": tokenizer("byte_bpe_50k.json"), "ranks": tokenizer("byte_bpe_50k.tiktoken"), "b": tokenizer("piece_bpe_32k.model")
+    }
+    docs = table(spark, sf_dir, "documents")
+    found = alignment.align(docs, files, public_tokenizers.PATTERN, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
+    "op12_lexical": f"""
+        with d as (select doc_id, regexp_extract_all({_LOWER.format('text')}, '{_TERM}') as terms from documents),
+        sized as (select doc_id, len(terms) as n, terms from d where len(terms) > 0),
+        total as (select count(*) as docs, sum(n)::bigint as all_terms from sized),
+        counted as (
+            select doc_id, n, term, count(*) as tf from (select doc_id, n, unnest(terms) as term from sized) group by all),
+        weights as (
+            select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+            from counted, total group by term),
+        q as (
+            select item_id, term, count(*) as times from (
+                select item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{_TERM}')) as term from benchmark)
+            group by all),
+        scored as (
+            select item_id, doc_id,
+                sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // all_terms))))::bigint as score
+            from q join counted using (term) join weights using (term), total group by all),
+        ranked as (
+            select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+        select item_id, rank::int as rank, doc_id, score from ranked where rank <= 10""",
     "op6_warc": """
         with p as (select page_id, coalesce(html, '') as html from pages),
         d as (select page_id, octet_length(encode(html)) as payload_bytes, sha1(html) as payload_digest from p),
