@@ -83,7 +83,11 @@ def fingerprint(text: str, k: int = K, window: int = WINDOW, longest: int = LONG
 def likeness(a: str, b: str) -> Column:
     """Dice's coefficient of the hashes of two fingerprints: 1 if they are the same, 0 if they share
     none. Two empty ones are alike."""
-    x, y = f"array_distinct({a}.hash)", f"array_distinct({b}.hash)"
+    return _dice(f"{a}.hash", f"{b}.hash")
+
+
+def _dice(a: str, b: str) -> Column:
+    x, y = f"array_distinct({a})", f"array_distinct({b})"
     return F.expr(
         f"if(size({a}) + size({b}) = 0, 1D, 2D * size(array_intersect({x}, {y})) / (size({x}) + size({y})))"
     )
@@ -149,30 +153,31 @@ def edited_fingerprints(
     )
     links = checkpointed(next_documents(ids))
 
-    # Both joins read the same columns of the texts, so they share the exchange.
-    texts = named.withColumn("prints", fingerprint("text", k, window)).groupBy("id", "hash").agg(
-        F.first(F.struct("key", "text", "prints")).alias("doc")
-    )
+    # Both joins read the same columns of the texts, so they share the exchange. Fingerprints do not
+    # compress: each side of it computes them anew.
+    texts = named.groupBy("id", "hash").agg(F.first(F.struct("key", "text")).alias("doc"))
 
     def compared(links: DataFrame) -> DataFrame:
         wanted = links.select(
             F.col("id").alias("for_id"), F.col("hash").alias("for_hash"), "n_chars", "copies",
             F.col("next_id").alias("id"), F.col("next_hash").alias("hash"),
         )
-        given = texts.join(wanted.hint("merge"), ["id", "hash"]).select(
+        given = texts.join(wanted.hint("merge"), ["id", "hash"]).select("doc.text", *wanted.columns).select(
             F.col("for_id").alias("id"), F.col("for_hash").alias("hash"), "n_chars", "copies",
-            F.expr(f"left(doc.text, cast(n_chars div {share} as int))").alias("head"),
-            F.col("doc.prints").alias("next_prints"),
+            F.expr(f"left(text, cast(n_chars div {share} as int))").alias("head"),
+            fingerprint("text", k, window)["hash"].alias("next_hashes"),
         )
         met = texts.join(given.hint("merge"), ["id", "hash"]).select(
-            "doc.*", "copies", "n_chars", "next_prints",
+            "doc.*", "copies", "n_chars", "next_hashes",
             F.concat(F.expr(f"left(doc.text, cast(n_chars - n_chars div {share} as int))"), "head").alias("edited"),
         )
-        both = computed_once(met, edited_prints=fingerprint("edited", k, window))
+        both = computed_once(
+            met, prints=fingerprint("text", k, window), edited_prints=fingerprint("edited", k, window)
+        )
         return both.select(
             F.col("key").alias(key), "n_chars", "edited", F.col("prints").alias("fingerprint"),
             F.col("edited_prints").alias("edited_fingerprint"), likeness("prints", "edited_prints").alias("near_edited"),
-            likeness("prints", "next_prints").alias("near_next"), "copies",
+            _dice("prints.hash", "next_hashes").alias("near_next"), "copies",
         )
 
     few = compared(links.filter(F.col("copies") <= PIECE)).withColumn("_copy", F.explode(F.expr("sequence(1, int(copies))")))
