@@ -31,6 +31,11 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2
 SHARDS = 64
+# A mix that is written down has more shards than that if they would have more words than these.
+SHARD_WORDS = 4_000_000
+MOST_SHARDS = 1 << 17
+# Pieces that the documents of a source of which nothing is taken are dealt into.
+PIECES = 1024
 BLOCK_WORDS = 4096
 # Rows of a source that are ordered in one bucket, on average.
 BUCKET_ROWS = 4096
@@ -242,7 +247,7 @@ def mix(
         F.col("copy.epoch").alias("epoch"), F.col("copy.words").alias("words"),
         F.when(F.col("copy").isNotNull(), F.expr(
             "least(blocks - 1, cast(floor(copy.at / (quota / nullif(cast(blocks as double), 0D))) as bigint))"
-        )).alias("block"),
+        )).otherwise(-1 - F.pmod(F.xxhash64("ident", "size"), F.lit(PIECES))).alias("block"),
     )
     blocks = drawn_blocks(sources, shards, seed)
     return copies.join(blocks, ["rank", "block"], "left").select(
@@ -252,15 +257,31 @@ def mix(
     )
 
 
-def in_order(mixed: DataFrame) -> DataFrame:
-    """The copies shard by shard, shuffled within each."""
-    return mixed.filter("shard is not null").repartition("shard").sortWithinPartitions("shard", "place")
+def in_order(mixed: DataFrame, shards: int | None = None) -> DataFrame:
+    """The copies shard by shard, shuffled within each. If their number is given, each shard is a
+    task of its own; all have as many blocks."""
+    taken = mixed.filter("shard is not null")
+    if shards is None:
+        dealt = taken.repartition("shard")
+    else:
+        dealt = taken.repartitionById(shards, F.col("shard").cast("int"))
+    return dealt.sortWithinPartitions("shard", "place")
+
+
+def shards_for(words: int, share: float = SHARE) -> int:
+    """A power of two: so many shards that none of a mix of `words` words has much over SHARD_WORDS."""
+    wanted = max(SHARDS, -(-int(words * share) // SHARD_WORDS))
+    return min(1 << (wanted - 1).bit_length(), MOST_SHARDS)
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", length: str | None = None, **options) -> DataFrame:
     """The mix as rows of `docs`: a document once per copy; the copy that crosses the target keeps
-    its leading words. `length` names a column that holds the length of the text."""
-    taken = in_order(mix(docs, text=text, **options))
+    its leading words. `length` names a column that holds the length of the text. Without `shards`
+    their number follows the size of the mix."""
+    if "shards" not in options:
+        words = docs.agg(F.sum(word_count(whole_text(text)))).first()[0] or 0
+        options["shards"] = shards_for(words, options.get("share", SHARE))
+    taken = in_order(mix(docs, text=text, **options), options["shards"])
     cut = F.expr(
         "regexp_extract(row.`" + text + "`, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*+[^\\\\x20\\\\x09-\\\\x0D]++){', words, '}+'), 0)"
     )
