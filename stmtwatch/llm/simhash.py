@@ -22,11 +22,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stmtwatch.llm.common import attach, checkpointed, whole_text
 from stmtwatch.llm.components import connected_components
+from stmtwatch.operators.lookup import fits_broadcast
 
 BITS = 64
 SEED = 42  # of the shingle hash
@@ -194,16 +195,28 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4
 ) -> DataFrame:
-    """The rows of `docs` with one row of each component: that of the smallest key (null last)."""
+    """The rows of `docs` with one row of each component: that of the smallest key (null last).
+
+    Rows that stay do not move while those that go, or of which one is chosen, can be broadcast.
+    """
     ident = F.xxhash64(whole_text(text))
     narrow = docs.select(F.col(key).alias("_key"), ident.alias("_hash"), text)
     rows = checkpointed(with_fingerprint(narrow, text, shingle).select("_key", "_hash", "fingerprint"))
     order = F.struct(F.col("_key").isNull(), "_key", "_hash")
     best = _fingerprint_classes(rows, distance, order).select("best._key", "best._hash").distinct()
+    met = best.select(F.col("_key").alias("key"), F.col("_hash").alias("hash"))
+    counted = rows.groupBy("_key", "_hash").agg(F.count(F.lit(1)).alias("n"))
+    # Rows that go, and rows of which one is to be chosen: equal ones, of the same key and text.
+    stays = F.col("hash").isNotNull()
+    judged = counted.join(met, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("hash")), "left")
+    odd = checkpointed(judged.filter(~stays | (F.col("n") > 1)).select(
+        F.col("_key").alias("key"), F.col("_hash").alias("hash"), stays.alias("stays")
+    ))
+    side = F.broadcast(odd) if fits_broadcast(odd) else odd
     packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("_key"), ident.alias("_hash"))
-    met = packed.join(
-        best.withColumnsRenamed({"_key": "key", "_hash": "hash"}),
-        F.col("_key").eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("hash")),
-    )
-    first = Window.partitionBy("_key", "_hash").orderBy("_hash")
-    return met.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("row.*")
+    marked = packed.join(side, F.col("_key").eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("hash")), "left")
+    out = marked.filter("stays is null").select("row.*")
+    if odd.filter("stays").isEmpty():
+        return out
+    equal = marked.filter("stays").groupBy("_key", "_hash").agg(F.first("row").alias("row"))
+    return out.unionByName(equal.select("row.*"))
