@@ -14,8 +14,10 @@ in a text become those tokens.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -43,10 +45,29 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+@functools.cache
+def differences(path: str) -> tuple[str, dict[str, str]]:
+    """Where the library that defines the ids knows another Unicode than `regex` and Python: letters
+    and digits of `regex` that it takes for neither, as ranges of a character class, and lower-case
+    forms that Python lacks. Only characters that Python's unicodedata has not are looked at."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    unknown = (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
+    known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, unknown)))
+    other = [ord(c) for c in known if len(library.pre_tokenizer.pre_tokenize_str(f"#{c}")) == 1]
+    lower = {c: small for c in known if (small := library.normalizer.normalize_str(c)) != c}
+    starts = [c for c, before in zip(other, [-1, *other]) if c != before + 1]
+    ends = [c for c, after in zip(other, [*other[1:], -1]) if c + 1 != after]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)), lower
+
+
 class Vocabulary:
-    """Ids, merges and rules of a tokenizer file whose words end in a suffix."""
+    """Ids, merges and rules of a tokenizer file whose words end in a suffix. `newer` are characters
+    (ranges of a class) that are neither letters nor digits, whatever `regex` says, `lower` are
+    lower-case forms beyond Python's."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, newer: str = "", lower: dict[str, str] | None = None):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -63,7 +84,16 @@ class Vocabulary:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
+        self.words = self.odd_words = regex.compile(pattern)
+        self.lower = str.maketrans(lower or {})
+        odd = newer + "".join(lower or {})
+        self.odd = regex.compile(f"[{odd}]" if odd else r"(?!)")
+        if newer:
+            other = r"[^\p{White_Space}\p{L}\p{N}]"
+            for known in (r"\p{L}", r"\p{N}"):
+                pattern = pattern.replace(f"[{known}]", f"[{known}--[{newer}]]")
+            self.odd_words = regex.compile(pattern.replace(other, f"(?:{other}|[{newer}])"), regex.VERSION1)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def split(self, text: str) -> list[str]:
@@ -78,6 +108,8 @@ class Vocabulary:
         if not text.isascii():
             # One character at a time, without the rule for a final sigma.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.odd.search(text):
+                return self.odd_words.findall(text.translate(self.lower).lower())
         return self.words.findall(text.lower())
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -224,11 +256,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None =
     made = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)]
     made += [T.StructField(decoded, T.StringType(), False)] if decoded else []
     names = {f.name for f in made}
-    packed = docs.select(whole_text(text).alias("text"), F.struct("*").alias("row"))
+    packed = docs.select(F.struct("*").alias("row"))
+    at = docs.columns.index(text)
+    if not isinstance(docs.schema[text].dataType, T.StringType):  # else the row holds it, and it is sent once
+        packed = docs.select(F.struct("*").alias("row"), whole_text(text).alias("text"))
     schema = T.StructType([packed.schema["row"], *made])
+    newer, lower = differences(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
+        vocabulary = Vocabulary(path, newer, lower)
         encoder = Encoder(vocabulary)
         tokens = [vocabulary.text_of.get(i, "") for i in range(vocabulary.size)]
 
@@ -244,11 +280,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None =
 
         for batch in batches:
             start, words, texts = 0, 0, []
-            for i, value in enumerate(batch.column(0)):
-                texts.append(vocabulary.split(value.as_py()))
+            values = batch.column(1) if batch.num_columns > 1 else batch.column(0).field(at)
+            for i, value in enumerate(values):
+                texts.append(vocabulary.split(value.as_py() or ""))
                 words += len(texts[-1])
                 if words >= TOGETHER or i + 1 == batch.num_rows:
-                    yield encoded(batch.column(1).slice(start, len(texts)), texts)
+                    yield encoded(batch.column(0).slice(start, len(texts)), texts)
                     start, words, texts = i + 1, 0, []
 
     out = packed.mapInArrow(run, schema)

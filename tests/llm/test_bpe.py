@@ -40,6 +40,16 @@ def test_ids_of_random_texts(library, vocabulary, texts):
     assert ids(vocabulary, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_character(library):
+    """All code points, as letters, beside letters, digits and blanks."""
+    own = bpe.Vocabulary(PATH, *bpe.differences(PATH))
+    characters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}{c} b" for c in characters[i: i + 512]) for i in range(0, len(characters), 512)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    odd = [i for i, (a, b) in enumerate(zip(ids(own, texts), want)) if a != b]
+    assert not odd
+
+
 def test_frame(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = bpe.encode(docs, PATH, decoded="back").collect()
@@ -55,3 +65,6 @@ def test_odd_tables(spark):
     rows = bpe.encode(odd, PATH).collect()
     assert sorted(len(r.ids) for r in rows) == [0, 0, 2] and rows[0].asDict().keys() == {"doc_id", "text", "ids"}
     assert bpe.encode(odd.filter("false"), PATH).count() == 0
+    assert sorted(str(r.text) for r in rows) == ["None", "None", "a b"]
+    numbers = bpe.encode(spark.createDataFrame([(12,)], "text int"), PATH).collect()
+    assert [r.text for r in numbers] == [12] and len(numbers[0].ids) == 2
