@@ -15,12 +15,21 @@ from stmtwatch.llm.mixing import mixed_documents
 from stmtwatch.llm.queries import tokenizer
 from stmtwatch.llm.simhash import drop_near_duplicates
 
+# What travels to Python at once. Whole rows do, and a worker holds a few batches of them.
+BATCH_BYTES = 4 << 20
+
 # Trained weights and fingerprints are not expressible in SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, as texts differ in length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance sample rejects go."""
+    small_batches(spark)
     return sampled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -31,6 +40,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked fingerprints the document with the smallest doc_id stays."""
+    small_batches(spark)
     return drop_near_duplicates(docs, shingle=4, distance=4)
 
 
@@ -41,6 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their tokens."""
+    small_batches(spark)
     return encode(docs, tokenizer("word_bpe_49k.json"))
 
 
