@@ -43,6 +43,11 @@ def inspectable(log: DataFrame) -> DataFrame:
     return log.filter(wanted & (F.length("query") > 0))
 
 
+def sane_time(time: str = "event_time") -> Column:
+    """The time of a row; null if its clock is more than an hour ahead of this machine's."""
+    return F.when(F.col(time) <= F.current_timestamp() + F.expr("interval 1 hour"), F.col(time))
+
+
 def session_events(log: DataFrame) -> DataFrame:
     """What each row sets: `_user` and `_db`, null where it leaves the session as it is.
 
@@ -69,8 +74,30 @@ def _last_set(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _ended_by_silence(events: DataFrame, placed: Column, carried: DataFrame | None, idle: str) -> DataFrame:
+    """`events` in which the first row of a connection after a silence longer than `idle` clears what
+    it does not set. Silence is measured between neighbours in `seq` order, per connection, so that
+    one connection's clock does not touch another's. Rows without a sane time are passed over."""
+    events = events.withColumn("_at", sane_time())
+    timed = events.filter(placed & F.col("_at").isNotNull())
+    last = timed.groupBy("conn_id", "_block").agg(F.max_by("_at", "seq").alias("_last_time"))
+    blocks = events.filter(placed).select("conn_id", "_block").distinct().join(last, ["conn_id", "_block"], "left")
+    earlier = W.partitionBy("conn_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    starts = blocks.select("conn_id", "_block", F.last("_last_time", ignorenulls=True).over(earlier).alias("_start_time"))
+    if carried is not None and "carried_time" in carried.columns:
+        starts = starts.join(carried.select("conn_id", "carried_time"), "conn_id", "left").select(
+            "conn_id", "_block", F.coalesce("_start_time", "carried_time").alias("_start_time")
+        )
+    before = W.partitionBy("conn_id", "_block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    since = F.coalesce(F.last("_at", ignorenulls=True).over(before), F.col("_start_time"))
+    silent = placed & F.coalesce(F.col("_at") > since + F.expr(f"interval {idle}"), F.lit(False))
+    joined = events.join(starts.hint("merge"), ["conn_id", "_block"], "left").withColumn("_silent", silent)
+    cleared = {c: F.when(F.col("_silent"), F.coalesce(c, F.lit(""))).otherwise(F.col(c)) for c in ("_user", "_db")}
+    return joined.withColumns(cleared).drop("_silent", "_start_time", "_at")
+
+
 def with_session_context(
-    log: DataFrame, carried: DataFrame | None = None, block: int = 1_000_000
+    log: DataFrame, carried: DataFrame | None = None, block: int = 1_000_000, idle: str | None = None
 ) -> DataFrame:
     """Carry user and current database forward per connection, in `seq` order.
 
@@ -82,13 +109,17 @@ def with_session_context(
     Rows without connection or sequence number have no place in a session: they have only what they
     set themselves, and are spread over blocks of their own.
 
-    `carried(conn_id, carried_user, carried_db)` holds the values from before the log, if any.
+    `carried(conn_id, carried_user, carried_db, carried_time)` holds the values from before the log,
+    if any. With `idle` (an interval such as "8 hours") a session ends when its connection was silent
+    for longer than that.
     """
     placed = F.col("conn_id").isNotNull() & F.col("seq").isNotNull()
     spread = -1 - F.pmod(F.xxhash64("conn_id", "seq", "command", "db_user", "db_name"), F.lit(1024))
     events = session_events(log).withColumn(
         "_block", F.when(placed, F.floor(F.col("seq") / block)).otherwise(spread)
     )
+    if idle is not None:
+        events = _ended_by_silence(events, placed, carried, idle)
     # Only the few rows that set something are sorted for the last value of a block.
     setting = events.filter(placed & (F.col("_user").isNotNull() | F.col("_db").isNotNull()))
     last = _last_set(setting, ["conn_id", "_block"])
@@ -131,20 +162,28 @@ def session_state(log: DataFrame, carried: DataFrame | None = None, idle: str |
     """What is carried on from a log: user, database and last time of each connection that has
     either. A connection that quit has none.
 
-    `idle` (an interval such as "8 hours") drops connections that were silent for longer, counted
-    from the last time in this log.
+    With `idle` a connection's state is that of its last row, after the silences within the log. One
+    that was silent for longer goes, counted from the last sane time in this log, so that one wild
+    clock forgets nobody's session.
     """
-    time = F.col("event_time") if "event_time" in log.columns else F.lit(None).cast("timestamp")
+    time = sane_time() if "event_time" in log.columns else F.lit(None).cast("timestamp")
     placed = F.col("conn_id").isNotNull() & F.col("seq").isNotNull()
     events = session_events(log).withColumn("_time", time).filter(placed)
-    state = _last_set(events, ["conn_id"])
+    if idle is None:
+        state = _last_set(events, ["conn_id"])
+    else:
+        shaped = with_session_context(log, carried, idle=idle).withColumn("_time", time).filter(placed)
+        state = shaped.groupBy("conn_id").agg(
+            F.max_by("_time", F.when(F.col("_time").isNotNull(), F.col("seq"))).alias("_seen"),
+            F.max_by("db_user", "seq").alias("_last_user"), F.max_by("db_name", "seq").alias("_last_db"),
+        )
     if carried is not None:
         before = carried if "carried_time" in carried.columns else carried.withColumn(
             "carried_time", F.lit(None).cast("timestamp")
         )
         state = state.join(before, "conn_id", "full")
         user, db = F.coalesce("_last_user", "carried_user"), F.coalesce("_last_db", "carried_db")
-        seen = F.greatest("_seen", "carried_time")
+        seen = F.coalesce("_seen", "carried_time")
     else:
         user, db, seen = F.col("_last_user"), F.col("_last_db"), F.col("_seen")
     state = state.select(

@@ -22,6 +22,7 @@ from stmtwatch.plans.scoring import ScoringContext, prepare, score_log
 from stmtwatch.sources import rules as ru
 from stmtwatch.sources import sinks, storage, tables
 from stmtwatch.streaming import scoring as st
+from stmtwatch.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -378,6 +379,17 @@ def weighted_scores(spark, sf_dir):
     return rk.with_risk(flagged, weights).groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def rejected_messages(spark, sf_dir):
+    """Messages of which some break off: the broken ones, beside the log of the others."""
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    whole = F.to_json(F.struct("*"), exact)
+    broken = F.concat(F.lit('{"seq": '), F.col("seq").cast("string"), F.lit(', "conn_id": '))
+    sent = demo.session_log(spark, sf_dir).select(F.when(F.col("seq") % 9 == 4, broken).otherwise(whole).alias("value"))
+    met = tables.query_log_from_json(sent, malformed="aside").select(F.lit("row").alias("kind"), F.col("seq").cast("string").alias("value"))
+    return tables.rejected_messages(sent).select(F.lit("rejected").alias("kind"), "value").unionByName(met)
+
+
 @query
 def reasons(spark, sf_dir):
     return scored_log(spark, sf_dir).select("seq", "reason")
@@ -500,13 +512,18 @@ def expire_learning(spark, sf_dir):
 
 
 BATCHES = 3
+# Files, and so tasks, of a micro-batch.
+FILES = 4
 
 
-def _in_files(log: DataFrame, batch: Column) -> str:
-    """The log as files written one after the other, so that a stream reads them in this order."""
+def _in_files(log: DataFrame, batch: Column, files: int = FILES) -> str:
+    """The log as files written one after the other, so that a stream that reads `files` at a time
+    has its micro-batches in this order."""
     path = scratch(log.sparkSession)
     for number in range(BATCHES):
-        log.filter(batch == number).coalesce(1).write.mode("append").parquet(path)
+        rows = log.filter(batch == number)
+        # Every file has rows, so that no micro-batch takes one of the next.
+        rows.repartitionById(files, F.pmod(F.xxhash64("seq"), F.lit(files)).cast("int")).write.mode("append").parquet(path)
     return path
 
 
@@ -526,7 +543,7 @@ def _tables(spark: SparkSession) -> st.Tables:
 def _stream_into(log: DataFrame, paths: st.Tables) -> None:
     """Score a log as a stream of three micro-batches, at a time when all policies still learn."""
     spark = log.sparkSession
-    stream = tables.stream_query_log(spark, _in_files(log, F.col("seq") % BATCHES), max_files=1)
+    stream = tables.stream_query_log(spark, _in_files(log, F.col("seq") % BATCHES), max_files=FILES)
     st.run_scoring(
         stream, context(spark).rules, paths, scratch(spark), available_now=True,
         now=F.lit("2020-01-02 00:00:00").cast("timestamp"),
@@ -580,7 +597,7 @@ def learn_stream(spark, sf_dir):
 def group_stream(spark, sf_dir):
     """Alert groups kept by a streaming aggregate over scored statements."""
     path = _in_files(demo.query_log(spark, sf_dir), F.col("seq") % BATCHES)
-    log = tables.stream_query_log(spark, path, max_files=1)
+    log = tables.stream_query_log(spark, path, max_files=FILES)
     raised = al.alerts(st.score_stream(log, context(spark)))
     out = scratch(spark)
     st.run_groups(raised, out, scratch(spark), available_now=True).awaitTermination()
@@ -593,7 +610,7 @@ def session_stream(spark, sf_dir):
     log = demo.session_log(spark, sf_dir)
     last = log.agg(F.max("seq").alias("last"))  # one row
     batch = F.floor(F.col("seq") * BATCHES / (F.lit(last.first().last or 0) + 1))
-    stream = tables.stream_query_log(spark, _in_files(log, batch), max_files=1)
+    stream = tables.stream_query_log(spark, _in_files(log, batch), max_files=FILES)
     root = scratch(spark)
 
     def shape(rows: DataFrame, number: int) -> None:
@@ -603,3 +620,54 @@ def session_stream(spark, sf_dir):
         availableNow=True
     ).start().awaitTermination()
     return spark.read.parquet(f"{root}/out").select("seq", "conn_id", "command", "db_user", "db_name")
+
+
+def _timed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of sessions with clocks gone wild and rows without a time."""
+    wild = F.when(F.col("seq") % 101 == 50, F.lit("2099-01-01 00:00:00").cast("timestamp"))
+    return demo.session_log(spark, sf_dir).withColumn(
+        "event_time", wild.when(F.col("seq") % 53 == 7, F.lit(None)).otherwise(F.col("event_time"))
+    )
+
+
+@query
+def session_timeouts(spark, sf_dir):
+    """Sessions that end when their connection is silent for three hours."""
+    shaped = se.with_session_context(_timed_log(spark, sf_dir), idle="3 hours", block=500)
+    return shaped.select("seq", "conn_id", "command", "db_user", "db_name")
+
+
+@query
+def session_timers(spark, sf_dir):
+    """The same from a stream that delivers rows out of order, and some again in a later micro-batch."""
+    log = _timed_log(spark, sf_dir)
+    last = log.agg(F.max("seq").alias("seq"), F.max(se.sane_time()).alias("at")).first()  # one row
+    late = F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(20))
+    first = F.least(F.floor(late * BATCHES / (F.lit(last.seq or 0) + 1)), F.lit(BATCHES - 1))
+    again = F.when(F.col("seq") % 7 == 0, F.array(first, F.least(first + 1, F.lit(BATCHES - 1)))).otherwise(F.array(first))
+    path = _in_files(log.withColumn("_batch", F.explode(again)), F.col("_batch"))
+    # One row of a far later time, which lets all others go.
+    closing = log.limit(1).withColumns({
+        "seq": F.lit(last.seq) + 1, "conn_id": F.lit("closing"), "event_time": F.lit(last.at) + F.expr("interval 30 days"),
+    })
+    closing.write.mode("append").parquet(path)
+    shaped = sessions.shaped_stream(tables.stream_query_log(spark, path, max_files=FILES), delay="2 days", idle="3 hours")
+    out = scratch(spark)
+    shaped.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+    found = spark.read.parquet(out).filter("conn_id <> 'closing'")
+    return found.select("seq", "conn_id", "command", "db_user", "db_name")
+
+
+@query
+def repeated_rows(spark, sf_dir):
+    """Alerts of a log of which every row is delivered twice, the second time in another micro-batch."""
+    log = demo.query_log(spark, sf_dir).withColumn("_batch", F.explode(F.array(F.col("seq") % BATCHES, (F.col("seq") + 1) % BATCHES)))
+    path = _in_files(log, F.col("_batch"))
+    once = tables.without_repeats(tables.stream_query_log(spark, path, max_files=FILES), "10000 days")
+    out = scratch(spark)
+    al.alerts(st.score_stream(once, context(spark))).writeStream.format("parquet").option(
+        "checkpointLocation", out + "-state"
+    ).trigger(availableNow=True).start(out).awaitTermination()
+    return naive(spark.read.parquet(out).drop("alertid", "agroupid"))

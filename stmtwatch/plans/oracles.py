@@ -208,6 +208,19 @@ select seq, conn_id, command, coalesce(last_value(set_user ignore nulls) over w,
  coalesce(last_value(set_db ignore nulls) over w, '') as db_name
 from marked window w as (partition by conn_id order by seq rows between unbounded preceding and current row)
 """
+_SESSION_TIMEOUTS = _SESSIONS + """, timed as (
+ select *, case when event_id % 101 = 50 or event_id % 53 = 7 then null else met_at end as sane from (
+  select *, seq as event_id, event_time as met_at from marked)),
+gaps as (
+ select *, coalesce(sane > last_value(sane ignore nulls) over (partition by conn_id order by seq
+  rows between unbounded preceding and 1 preceding) + interval 3 hour, false) as silent from timed),
+ended as (
+ select seq, conn_id, command, case when silent then coalesce(set_user, '') else set_user end as set_user,
+  case when silent then coalesce(set_db, '') else set_db end as set_db from gaps)
+select seq, conn_id, command, coalesce(last_value(set_user ignore nulls) over w, '') as db_user,
+ coalesce(last_value(set_db ignore nulls) over w, '') as db_name
+from ended window w as (partition by conn_id order by seq rows between unbounded preceding and current row)
+"""
 _STARS = ", ".join(f"perms & {bit} <> 0 as can_{name}" for name, bit in (
     ("create", 1), ("drop", 2), ("alter", 4), ("info", 8), ("block", 16), ("bruteforce", 32)
 ))
@@ -327,4 +340,11 @@ select db_type, pattern like 'insert into%' or pattern like 'select%union%' as a
     "learn_stream": _USABLE_LIST,
     "group_stream": _GROUPS,
     "session_stream": _SESSION_CONTEXT,
+    "session_timeouts": _SESSION_TIMEOUTS,
+    "session_timers": _SESSION_TIMEOUTS,
+    "repeated_rows": _ALERTS,
+    "rejected_messages": """
+select 'rejected' as kind, '{"seq": ' || event_id || ', "conn_id": ' as value from events where event_id % 9 = 4
+union all select 'row' as kind, event_id::varchar as value from events where event_id % 9 <> 4
+""",
 }

@@ -10,6 +10,7 @@ from stmtwatch import schemas
 from stmtwatch.config import ENDPOINT_DISABLED
 from stmtwatch.operators.alerts import alert_groups
 from stmtwatch.operators.policy import policy_catalog
+from stmtwatch.operators.session import sane_time
 from stmtwatch.sources.storage import latest_version, part_exists
 
 _STORED = {"policy": schemas.POLICY, "endpoint": schemas.ENDPOINT, "allowlist": schemas.ALLOWLIST}
@@ -61,10 +62,51 @@ def stream_query_log(
     return as_query_log(reader.load(path))
 
 
-def query_log_from_json(messages: DataFrame, col: str = "value") -> DataFrame:
-    """A query log from JSON messages, as a message bus delivers them."""
-    parsed = messages.select(F.from_json(F.col(col).cast("string"), schemas.QUERY_LOG).alias("m"))
-    return as_query_log(parsed.select("m.*"))
+def _parsed(messages: DataFrame, col: str) -> DataFrame:
+    """`m`, a message's fields, with `_malformed`, its text if that is no JSON object of the log."""
+    schema = T.StructType([*schemas.QUERY_LOG.fields, T.StructField("_malformed", T.StringType())])
+    text = F.col(col).cast("string")
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+    # Empty and null messages parse to null.
+    return messages.select("*", parsed.alias("m")).withColumn(
+        "_malformed", F.when(F.col("m").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.col("m._malformed"))
+    )
+
+
+def query_log_from_json(messages: DataFrame, col: str = "value", malformed: str = "fail") -> DataFrame:
+    """A query log from JSON messages, as a message bus delivers them.
+
+    A malformed message fails the job or, with `malformed="aside"`, is left to `rejected_messages`.
+    """
+    if malformed not in ("fail", "aside"):
+        raise ValueError("malformed is either fail or aside")
+    parsed, broken = _parsed(messages, col), F.col("_malformed").isNotNull()
+    if malformed == "fail":
+        refused = F.raise_error(F.concat(F.lit("malformed message: "), F.left("_malformed", F.lit(200))))
+        parsed = parsed.filter(F.when(broken, refused.cast("boolean")).otherwise(True))
+    else:
+        parsed = parsed.filter(~broken)
+    return as_query_log(parsed.select("m.*").drop("_malformed"))
+
+
+def rejected_messages(messages: DataFrame, col: str = "value") -> DataFrame:
+    """The messages that are no log rows, with all their columns: batch or stream, to be kept aside."""
+    return _parsed(messages, col).filter(F.col("_malformed").isNotNull()).select(*messages.columns)
+
+
+def without_repeats(log: DataFrame, delay: str) -> DataFrame:
+    """A log stream in which a row that is delivered again within `delay` is met once.
+
+    Rows are known by connection and sequence number, those without either by all their columns.
+    The keys are state of the stream, dropped `delay` behind its latest time. Rows that come later
+    than that are refused by Spark; clocks over an hour ahead of this machine's do not move the time.
+    """
+    placed = F.col("conn_id").isNotNull() & F.col("seq").isNotNull()
+    keyed = log.withColumns({
+        "_clock": sane_time(), "_whole": F.when(placed, 0).otherwise(F.xxhash64(*log.columns)),
+    })
+    once = keyed.withWatermark("_clock", delay).dropDuplicatesWithinWatermark(["conn_id", "seq", "_whole"])
+    return once.drop("_clock", "_whole")
 
 
 def read_table(

@@ -111,7 +111,7 @@ def session_stream(
     operator this splits the rows of a busy connection over many tasks.
     """
     carried = _carried_sessions(batch, path, batch_id, stream)
-    shaped = with_session_context(batch, carried)
+    shaped = with_session_context(batch, carried, idle=idle)
     own = f"{path}/stream={stream}"
     write_version(session_state(batch, carried, idle), own, batch_id + 1)
     # This micro-batch may be repeated, an earlier one may not.

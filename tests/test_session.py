@@ -77,7 +77,7 @@ def test_rows_without_place_are_no_session(spark):
 
 
 def test_silent_sessions_are_forgotten(spark):
-    rows = [(1, "a", "login", "u", "d", None, 0), (2, "b", "login", "v", "e", None, 5000), (3, "b", "query", None, None, None, 9000)]
+    rows = [(1, "a", "login", "u", "d", None, 0), (2, "b", "login", "v", "e", None, 6000), (3, "b", "query", None, None, None, 9000)]
     log = spark.createDataFrame(rows, COLUMNS + ", at long").withColumn("event_time", F.timestamp_seconds("at"))
     assert {r.conn_id for r in session_state(log, idle="1 hour").collect()} == {"b"}
     assert {r.conn_id for r in session_state(log, idle="3 hours").collect()} == {"a", "b"}
