@@ -19,6 +19,7 @@ from stmtwatch.operators import risk as rk
 from stmtwatch.operators import session as se
 from stmtwatch.plans import demo
 from stmtwatch.plans.scoring import ScoringContext, prepare, score_log
+from stmtwatch.sources import rawlog
 from stmtwatch.sources import rules as ru
 from stmtwatch.sources import sinks, storage, tables
 from stmtwatch.streaming import scoring as st
@@ -379,6 +380,38 @@ def weighted_scores(spark, sf_dir):
     return rk.with_risk(flagged, weights).groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _rendered(log: DataFrame, dialect: str) -> str:
+    """The statements of a dialect, over several lines, in files as its server writes them."""
+    path = scratch(log.sparkSession)
+    lines = log.filter(F.col("db_type") == dialect).withColumns({
+        "conn_id": F.substring("conn_id", 2, 20), "query": F.replace("query", F.lit(" WHERE "), F.lit("\nWHERE\n\n")),
+    })
+    lines.repartition(3, "conn_id").sortWithinPartitions("seq").select(
+        rawlog.render(lines, dialect).alias("value")
+    ).write.text(path)
+    return path
+
+
+@query
+def raw_general_log(spark, sf_dir):
+    """The log of the first dialect as a general log, read back in small ranges of bytes."""
+    path = _rendered(demo.query_log(spark, sf_dir), "mysql")
+    log = rawlog.read_raw_log(spark, path, "mysql", proxy_id=1, splitbytes=1 << 16)
+    return naive(log.select("event_time", "conn_id", "proxy_id", "db_type", "command", "query"))
+
+
+@query
+def raw_csv_log(spark, sf_dir):
+    """The statements of the second dialect as a csvlog, read as a stream of complete files."""
+    path = _rendered(demo.query_log(spark, sf_dir).filter("command = 'query'"), "pgsql")
+    log = rawlog.stream_raw_log(spark, path, "pgsql", proxy_id=2, splitbytes=1 << 16, complete=True)
+    out = scratch(spark)
+    log.writeStream.format("parquet").option("checkpointLocation", out + "-state").trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+    return naive(spark.read.parquet(out).drop("seq", "ok"))
+
+
 @query
 def rejected_messages(spark, sf_dir):
     """Messages of which some break off: the broken ones, beside the log of the others."""

@@ -342,7 +342,16 @@ select db_type, pattern like 'insert into%' or pattern like 'select%union%' as a
     "session_stream": _SESSION_CONTEXT,
     "session_timeouts": _SESSION_TIMEOUTS,
     "session_timers": _SESSION_TIMEOUTS,
-    "repeated_rows": _ALERTS,
+    "repeated_rows": _chained("select * from alert_rows"),
+    "raw_general_log": f"""
+select event_time, conn_id[2:] as conn_id, 1 as proxy_id, db_type, command,
+ replace(query, ' WHERE ', chr(10) || 'WHERE' || chr(10) || chr(10)) as query from ({demo.QUERY_LOG_SQL}) where db_type = 'mysql'
+""",
+    "raw_csv_log": f"""
+select event_time, conn_id[2:] as conn_id, 2 as proxy_id, db_type, db_name, db_user, user_ip, command,
+ replace(query, ' WHERE ', chr(10) || 'WHERE' || chr(10) || chr(10)) as query
+from ({demo.QUERY_LOG_SQL}) where db_type = 'pgsql' and command = 'query'
+""",
     "rejected_messages": """
 select 'rejected' as kind, '{"seq": ' || event_id || ', "conn_id": ' as value from events where event_id % 9 = 4
 union all select 'row' as kind, event_id::varchar as value from events where event_id % 9 <> 4

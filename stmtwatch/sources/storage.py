@@ -8,6 +8,7 @@ version; a path is never overwritten while it is read.
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,3 +113,112 @@ def scratch_folder(spark: SparkSession) -> str:
     if not shared:
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/')}/stmtwatch-{uuid.uuid4().hex}"
+
+
+# --- commits: which parts count ---------------------------------------------------------------------
+#
+# A micro-batch writes parts of several tables. None of them counts before the stream's mark says so.
+# A stream commits its micro-batches in order, so one number per stream is enough: the last one.
+# Compaction writes a part and then a manifest, which in one step lets the part count and the parts it
+# replaces not. Their files stay until `vacuum`, so that readers that have listed them can go on.
+
+
+def commit(spark: SparkSession, commits: str, stream: str, batch_id: int) -> None:
+    """From now on the parts of this micro-batch, and of all earlier ones of the stream, count."""
+    files, target = _path(spark, f"{commits}/stream={stream}/version={batch_id}")
+    files.mkdirs(target)
+    for name in _folders(spark, f"{commits}/stream={stream}", "version="):
+        if int(name.removeprefix("version=")) < batch_id:
+            files.delete(_path(spark, f"{commits}/stream={stream}/{name}")[1], True)
+
+
+def committed(spark: SparkSession, commits: str) -> dict[str, int]:
+    """The last committed micro-batch of each stream."""
+    out = {}
+    for stream in streams_of(spark, commits):
+        marks = [int(n.removeprefix("version=")) for n in _folders(spark, f"{commits}/stream={stream}", "version=")]
+        if marks:
+            out[stream] = max(marks)
+    return out
+
+
+def _manifests(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """By compacted part, the parts it replaces."""
+    files, _ = _path(spark, path)
+    out = {}
+    for name in _folders(spark, f"{path}/_compacted", "compact-"):
+        stream = files.open(_path(spark, f"{path}/_compacted/{name}")[1])
+        try:
+            out[name] = [x for x in bytes(stream.readAllBytes()).decode().split("\n") if x]
+        finally:
+            stream.close()
+    return out
+
+
+def live_parts(spark: SparkSession, path: str, commits: str | None = None) -> list[str]:
+    """The parts of a table that count, by one look at the folders.
+
+    Parts of jobs count when they are complete, parts of micro-batches when their stream has
+    committed them (without `commits`, when complete), compacted parts when they have a manifest.
+    """
+    manifests = _manifests(spark, path)  # first: a part that goes afterwards is still there
+    marks = committed(spark, commits) if commits is not None else {}
+    replaced = {part for parts in manifests.values() for part in parts}
+    live = []
+    for name in _folders(spark, path, "part="):
+        part = name.removeprefix("part=")
+        if part in replaced or not _complete(spark, f"{path}/{name}"):
+            continue
+        if part.startswith("compact-") and part not in manifests:
+            continue
+        if part.startswith("stream-") and commits is not None:
+            stream, batch = part.removeprefix("stream-").rsplit("-", 1)
+            if marks.get(stream, -1) < int(batch):
+                continue
+        live.append(part)
+    return sorted(live)
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    files, target = _path(spark, f"{folder}/_SUCCESS")
+    return files.exists(target)
+
+
+def drop_part(spark: SparkSession, path: str, part: str) -> None:
+    """Remove a part, as a repeated micro-batch does that has nothing to write any more."""
+    files, target = _path(spark, f"{path}/part={part}")
+    if files.exists(target):
+        files.delete(target, True)
+
+
+def compact_parts(df: DataFrame, path: str, parts: list[str], partition_by: tuple[str, ...] = ()) -> str:
+    """Replace `parts` by one that holds `df`, their content. A crash before the manifest is written
+    leaves the table as it was."""
+    spark, part = df.sparkSession, new_part("compact")
+    write_part(df, path, part, partition_by)
+    files, target = _path(spark, f"{path}/_compacted/{part}")
+    out = files.create(_path(spark, f"{path}/_compacted/_{part}")[1])
+    try:
+        out.write(bytearray("\n".join(parts).encode()))
+    finally:
+        out.close()
+    files.rename(_path(spark, f"{path}/_compacted/_{part}")[1], target)
+    return part
+
+
+def vacuum(spark: SparkSession, path: str, keep_ms: int = 24 * 3600 * 1000) -> list[str]:
+    """Delete replaced parts, and compacted ones without manifest, that are older than `keep_ms`.
+    No reader or micro-batch may take longer."""
+    files, _ = _path(spark, path)
+    manifests = _manifests(spark, path)
+    replaced = {part for parts in manifests.values() for part in parts}
+    gone = []
+    for name in _folders(spark, path, "part="):
+        part, target = name.removeprefix("part="), _path(spark, f"{path}/{name}")[1]
+        stale = part in replaced or part.startswith("compact-") and part not in manifests
+        manifest = next((m for m, parts in manifests.items() if part in parts), None)
+        since = _path(spark, f"{path}/_compacted/{manifest}")[1] if manifest else target
+        if stale and files.getFileStatus(since).getModificationTime() <= time.time() * 1000 - keep_ms:
+            files.delete(target, True)
+            gone.append(part)
+    return gone

@@ -11,7 +11,7 @@ from stmtwatch.config import ENDPOINT_DISABLED
 from stmtwatch.operators.alerts import alert_groups
 from stmtwatch.operators.policy import policy_catalog
 from stmtwatch.operators.session import sane_time
-from stmtwatch.sources.storage import latest_version, part_exists
+from stmtwatch.sources.storage import latest_version, live_parts, part_exists
 
 _STORED = {"policy": schemas.POLICY, "endpoint": schemas.ENDPOINT, "allowlist": schemas.ALLOWLIST}
 _DEFAULTS = {"db_name": "", "db_user": "", "user_ip": "", "command": "query", "query": ""}
@@ -149,31 +149,50 @@ def usable_allowlist(stored: DataFrame) -> DataFrame:
     return stored.filter((F.col("perm") > 0) & (F.length("query") > 0))
 
 
-def stored_allowlist(spark: SparkSession, path: str, besides: str | None = None) -> DataFrame:
+def _parts(spark: SparkSession, path: str, schema: T.StructType, commits: str, besides: str | None = None) -> DataFrame:
+    """The rows of the parts that count, with their part."""
+    live = [part for part in live_parts(spark, path, commits) if part != besides]
+    if not live:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("part", T.StringType())]))
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField("part", T.StringType())]))
+    return reader.option("basePath", path).parquet(*[f"{path}/part={part}" for part in live])
+
+
+def stored_allowlist(
+    spark: SparkSession, path: str, besides: str | None = None, commits: str | None = None
+) -> DataFrame:
     """All stored rows, also those without permission. `besides` names one part of the table to
-    leave out."""
+    leave out. With `commits` only parts that count are read."""
     if not part_exists(spark, path):
         return spark.createDataFrame([], schemas.ALLOWLIST)
+    if commits is not None:
+        return conform(_parts(spark, path, schemas.ALLOWLIST, commits, besides), schemas.ALLOWLIST)
     stored = spark.read.parquet(path)
     if besides is not None and "part" in stored.columns:
         stored = stored.filter(F.col("part").cast("string") != besides)
     return conform(stored, schemas.ALLOWLIST)
 
 
-def read_allowlist(spark: SparkSession, path: str, besides: str | None = None) -> DataFrame:
+def read_allowlist(
+    spark: SparkSession, path: str, besides: str | None = None, commits: str | None = None
+) -> DataFrame:
     """Allowlist rows that count: with a permission and a pattern."""
-    return usable_allowlist(stored_allowlist(spark, path, besides))
+    return usable_allowlist(stored_allowlist(spark, path, besides, commits))
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Stored alerts; filters on `event_date` skip whole folders."""
+def read_alerts(spark: SparkSession, path: str, commits: str | None = None) -> DataFrame:
+    """Stored alerts; filters on `event_date` skip whole folders. With `commits` only parts that count."""
+    if commits is not None:
+        dated = T.StructType([*schemas.ALERTS.fields, T.StructField("event_date", T.DateType())])
+        return _parts(spark, path, dated, commits)
     folders = [T.StructField("part", T.StringType()), T.StructField("event_date", T.DateType())]
     return spark.read.schema(T.StructType(schemas.ALERTS.fields + folders)).parquet(path)
 
 
-def read_alert_groups(spark: SparkSession, path: str) -> DataFrame:
+def read_alert_groups(spark: SparkSession, path: str, commits: str | None = None) -> DataFrame:
     """Stored alert groups, the parts of the table folded into one row per group."""
     if not part_exists(spark, path):
         return spark.createDataFrame([], schemas.ALERT_GROUPS)
-    stored = conform(spark.read.parquet(path), schemas.ALERT_GROUPS)
+    parts = spark.read.parquet(path) if commits is None else _parts(spark, path, schemas.ALERT_GROUPS, commits)
+    stored = conform(parts, schemas.ALERT_GROUPS)
     return alert_groups(stored.withColumnRenamed("update_time", "event_time"))

@@ -20,6 +20,8 @@ from stmtwatch.plans.scoring import ScoringContext, score_log
 from stmtwatch.sources.rules import CompiledRules
 from stmtwatch.sources.sinks import upsert_alert_groups, upsert_allowlist, write_alerts
 from stmtwatch.sources.storage import (
+    commit,
+    drop_part,
     drop_versions_before,
     latest_version,
     stream_name,
@@ -48,6 +50,8 @@ class Tables:
     sessions: str | None = None
     alert_period: str = "day"
     session_idle: str | None = "8 hours"
+    # Where streams say which micro-batches count. Without it each part counts once it is written.
+    commits: str | None = None
 
 
 def score_stream(log: DataFrame, context: ScoringContext) -> DataFrame:
@@ -127,7 +131,8 @@ def score_batch(
 
     Policies and allowlist are read anew, so what one micro-batch learns holds from the next one
     on. All it writes goes to parts named after the stream and its number: a repeated micro-batch
-    overwrites them, another stream over the same tables does not. Empty parts are not written.
+    overwrites them, another stream over the same tables does not. Empty parts are not written. With
+    `tables.commits` nothing of a micro-batch counts before all of it is written.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -135,7 +140,7 @@ def score_batch(
         context = ScoringContext(
             policies=expire_learning(read_policies(spark, tables.policies), now),
             endpoints=read_endpoints(spark, tables.endpoints),
-            allowlist=read_allowlist(spark, tables.allowlist, besides=stream_part(batch_id, stream)),
+            allowlist=read_allowlist(spark, tables.allowlist, stream_part(batch_id, stream), tables.commits),
             rules=rules,
             weights=weights,
         )
@@ -145,11 +150,16 @@ def score_batch(
         scored = score_log(batch, context).filter("alert or learn").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             part, raised = stream_part(batch_id, stream), alerts(scored)
+            # A repeated micro-batch may have less to write than it had the first time.
+            for path in (tables.alerts, tables.alert_groups, tables.allowlist):
+                drop_part(spark, path, part)
             if not raised.isEmpty():
                 write_alerts(raised, tables.alerts, part, tables.alert_period)
                 upsert_alert_groups(raised, tables.alert_groups, part)
             if not scored.filter("learn").isEmpty():
-                upsert_allowlist(learned(scored), tables.allowlist, part)
+                upsert_allowlist(learned(scored), tables.allowlist, part, tables.commits)
+            if tables.commits is not None:
+                commit(spark, tables.commits, stream, batch_id)
         finally:
             scored.unpersist()
 
