@@ -89,6 +89,8 @@ class Vocabulary:
         self.lower = str.maketrans(lower or {})
         odd = newer + "".join(lower or {})
         self.odd = regex.compile(f"[{odd}]" if odd else r"(?!)")
+        # One range is found faster than many; most texts have nothing in it.
+        self.high = regex.compile(f"[{min(odd.replace('-', ''))}-{chr(sys.maxunicode)}]" if odd else r"(?!)")
         if newer:
             other = r"[^\p{White_Space}\p{L}\p{N}]"
             for known in (r"\p{L}", r"\p{N}"):
@@ -108,7 +110,7 @@ class Vocabulary:
         if not text.isascii():
             # One character at a time, without the rule for a final sigma.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            if self.odd.search(text):
+            if self.high.search(text) and self.odd.search(text):
                 return self.odd_words.findall(text.translate(self.lower).lower())
         return self.words.findall(text.lower())
 
