@@ -67,11 +67,12 @@ _KEYWORDS = (
     "procedure|set|and|or|xor|not|in|between|like|rlike|regexp|is|as|null|true|false|case|when|"
     "then|else|end|exists|cast|binary|div|(?:left|right|inner|outer|natural|cross)(?! \\()"
 )
+# Words that a statement may hold without a change to what its flags say.
 _NOISE = (
-    r"collate \S+|with rollup|distinct|distinctrow|all|any|high_priority|low_priority|quick|"
-    r"sql_small_result|sql_big_result|sql_buffer_result|sql_cache|sql_no_cache|"
-    r"sql_calc_found_rows|zerofill|_?latin1|latin1_bin|latin1_german2_ci|utf8|utf8_bin|_bin|use|"
-    r"ignore|force|for|into|by|asc|desc"
+    r"distinctrow|distinct|all|high_priority|sql_small_result|sql_big_result|sql_buffer_result|"
+    r"sql_cache|sql_no_cache|sql_calc_found_rows|low_priority|quick|zerofill|latin1_bin|"
+    r"latin1_german2_ci|_?latin1|utf8_bin|utf8|_bin|use|ignore|force|for|any|into|by|asc|desc|"
+    r"with rollup|collate \S+"
 )
 # Names of password columns.
 _PASSWORD_FIELDS = ("pwd", "pass", "password")
