@@ -20,9 +20,11 @@ which one connection has a large share of all rows `scoring.session_stream` spli
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from stmtwatch.operators.session import sane_time, session_events
 
+# Executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The state store that keyed state with timers needs.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 # Pieces that rows without a place are dealt into.
