@@ -8,14 +8,16 @@ a letter, so that plain regexes can work on it:
     =  any comparison    !  "not to be judged on its own"    #  a comment
 
 Most signals ask whether the outline holds some word. Tautologies, empty passwords and sensitive
-tables depend on the clause. For these the outline is flattened: a short loop takes out the
-innermost parentheses, all of one depth at a time. A subselect leaves its select list behind and is
+tables depend on the clause. For these the outline is flattened: groups without selects and CASEs are
+opened in one pass, and a short loop takes out the innermost of the others, all of one depth at a time. A subselect leaves its select list behind and is
 kept as a block of its own; any other group leaves its content. What remains are flat selects whose
 table lists and predicates a regex can cut out. All loops in the regexes are possessive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,8 @@ _COMPARISONS = ("=", "<=>", "!=", "<>", ">=", "<=", ">", "<")
 _SPECIAL = " ;#(),=:\t\n\r"
 _STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_SPECIAL)))
 _QUALIFIED, _VERSION_CALL, _TABLE_SUBSELECT = "\uE100", "\uE101", "\uE102"
+# The parentheses of the subselects that go in a round.
+_GOES, _GONE = "\uE103", "\uE104"
 
 # The words which are not names.
 _KEYWORDS = (
@@ -134,11 +138,34 @@ def outline(toks: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(F.transform(toks, letter), " "), F.lit(" "))
 
 
+# Units of a chain of predicates: up to 24 words or groups that hold no group.
+_GROUP = r" \((?: [^ ()]+)*+ \)"
+
+
+def _chain(word: str, ends: str) -> tuple[str, str]:
+    """Of equal predicates joined by one word the first and the last stay."""
+    unit = rf"((?: (?!(?i:{ends}) )[^ ()]+|{_GROUP}){{1,24}}+)"
+    starts = r"( (?i:where|having|on|or|and|xor|\())"
+    return rf"(?-i){starts}{unit} (?i:{word})(?:\2 (?i:{word})(?=\2 ))++", f"$1$2 {word}"
+
+
 def shape(counted: Column) -> Column:
     """What the flags of a statement depend on, but for `has_separator`: the part of the outline that
-    counts, with at most two of the equal constants of a list. The first and the last stay, as the
-    words around a list may belong to them."""
-    return _replace(F.concat(counted, F.lit(" ")), (r" ([0\"']) ,(?: \1 ,(?= \1 ))++", " $1 ,"))
+    counts, without what repeats. The first and the last of a list stay, as the words around it may
+    belong to them.
+
+    Of a list of constants the first stays, and the last of each kind; of adjacent equal tuples and
+    of adjacent equal predicates of an OR or AND chain two stay. So lists, tuples and chains of any
+    length share a shape. Which fields, constants and comparisons there are does not change.
+    """
+    return _replace(
+        F.concat(counted, F.lit(" ")),
+        (r" ([0\"']) ,(?: \1 ,(?= \1 ))++", " $1 ,"),
+        (r"(?<= [0\"'] ,) ([0\"']) ,(?=(?: [0\"'] ,)*? \1 )", ""),
+        (rf"(?-i)({_GROUP}) ,(?:\1 ,(?=\1 ))++", "$1 ,"),
+        _chain("or", "or|xor"),
+        _chain("and", "and|or|xor"),
+    )
 
 
 def verb(outlined: Column) -> Column:
@@ -279,6 +306,82 @@ def _tidied(text: Column) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(numbers: Column) -> Column:
+    """Running sums of an array, in as many rounds as its size has binary digits: after round k each
+    entry holds the sum of the last 2^k."""
+    powers = F.array(*[F.lit(1 << k) for k in range(31)])
+
+    def doubled(sums: Column, r: Column) -> Column:
+        return F.transform(sums, lambda n, i: n + F.coalesce(F.get(sums, i - r), F.lit(0)))
+
+    return _let(numbers, lambda given: F.aggregate(
+        F.filter(powers, lambda r: r < F.size(given)), given, doubled
+    ))
+
+
+def _plain_opened(text: Column) -> Column:
+    """Without the parentheses of plain groups in plain groups, however deep and however many.
+
+    A group is plain if neither it nor any group in it holds a select, a CASE or a clause word: the
+    rounds of `_looped` would only take its parentheses out, one depth at a time. Here the depth of each
+    parenthesis is a running sum. Sorted by depth and place, the two of a group are neighbours; the
+    group is plain if the running count of the words that matter is the same at both.
+    """
+    def step(piece: Column) -> Column:
+        return F.when(piece.startswith("("), 1).when(piece.startswith(")"), -1).otherwise(0)
+
+    def matters(piece: Column) -> Column:
+        return F.when(piece.rlike(rf"(?i) (?:select|case|{_INNER_CLAUSE}) "), 1).otherwise(0)
+
+    def in_order(pieces: Column, depths: Column, words: Column) -> Column:
+        """(depth, place, step, words before) of all parentheses, by depth and place."""
+        places = F.sequence(F.lit(1), F.size(pieces) - 1)
+        return F.array_sort(F.transform(places, lambda k: F.struct(
+            (F.get(depths, k) + F.when(F.get(pieces, k).startswith(")"), 1).otherwise(0)).alias("depth"),
+            k.alias("place"),
+            step(F.get(pieces, k)).alias("step"),
+            F.get(words, k - 1).alias("words"),
+        )))
+
+    def paired(opening: Column, closing: Column) -> Column:
+        same = (opening.depth == closing.depth) & (opening.words == closing.words)
+        return F.coalesce((opening.step == 1) & (closing.step == -1) & same, F.lit(False))
+
+    def plain_steps(ordered: Column) -> Column:
+        """1 and -1 at the parentheses of plain groups, 0 at others, by place."""
+        marked = F.transform(ordered, lambda o, t: F.struct(
+            o.place.alias("place"),
+            F.when(paired(o, F.get(ordered, t + 1)), 1)
+            .when((t > 0) & paired(F.get(ordered, t - 1), o), -1).otherwise(0).alias("plain"),
+        ))
+        return F.transform(F.array_sort(marked), lambda m: m.plain)
+
+    def without(pieces: Column, plain: Column, around: Column) -> Column:
+        """The text without the parentheses that have a plain group around them."""
+        def kept(piece: Column, i: Column) -> Column:
+            inner = F.get(around, i - 1) > F.greatest(F.get(plain, i - 1), F.lit(0))
+            gone = (i > 0) & (F.get(plain, i - 1) != 0) & inner
+            return F.when(gone, F.substring(piece, F.lit(3), F.length(piece))).otherwise(piece)
+
+        return F.array_join(F.transform(pieces, kept), "")
+
+    # Each piece is a parenthesis and what follows it; the first one is what precedes them all.
+    pieces = F.regexp_extract_all(text, F.lit(r"^[^()]++|[()][^()]*+"), F.lit(0))
+    opened = _let(pieces, lambda pieces: _let(
+        _let(_running(F.transform(pieces, step)), lambda depths: _let(
+            _running(F.transform(pieces, lambda p: matters(F.concat(F.lit(" "), p)))),
+            lambda words: _let(in_order(pieces, depths, words), plain_steps),
+        )),
+        lambda plain: _let(_running(plain), lambda around: without(pieces, plain, around)),
+    ))
+    return F.when(text.rlike(r"(?:\([^(]*+){16}"), opened).otherwise(text)
+
+
 def _undoubled(text: Column) -> Column:
     """Parentheses in parentheses in parentheses: the inner and the outer ones say it all.
 
@@ -306,14 +409,19 @@ def _undoubled(text: Column) -> Column:
 
 
 def _unwrapped(text: Column) -> Column:
-    """Take out the innermost CASEs, subselects and other groups."""
+    """Take out the innermost subselects and other groups. The subselects are marked beforehand, so
+    that one which becomes innermost by this is left for the next round, which keeps it as a block."""
+    inside = rf"[^ (){_GOES}{_GONE}]+"
     return _replace(
         text,
-        (_CASE, " ! :case"),
-        (rf"( (?:from|join|straight_join|,)){_SUBSELECT}", f"$1 :{_TABLE_SUBSELECT}"),
+        (_SUBSELECT, f" {_GOES} $1 {_GONE}"),
+        (
+            rf"( (?:from|join|straight_join|,)) {_GOES} select{_run('case', inside)} {_GONE}(?= )",
+            f"$1 :{_TABLE_SUBSELECT}",
+        ),
         (
-            rf" \( select({_run(_LIST_END + '|case', _PLAIN)})"
-            rf"(?: (?:{_LIST_END}){_run('case', _PLAIN)})? \)(?= )",
+            rf" {_GOES} select({_run(_LIST_END + '|case', inside)})"
+            rf"(?: (?:{_LIST_END}){_run('case', inside)})? {_GONE}(?= )",
             "$1",
         ),
         (rf" \(({_run('case|select|' + _INNER_CLAUSE, _PLAIN)}) \)(?= )", "$1"),
@@ -323,12 +431,24 @@ def _unwrapped(text: Column) -> Column:
 def flattened(text: Column) -> Column:
     """`struct<selects, cases>`: all selects of the statement as flat text, and its CASEs.
 
-    Each round takes out one depth of nesting, so there are at most as many rounds as words that
-    nest. The first round that finds nothing to do closes the state; later ones return it as it is.
-    Parentheses around parentheses go beforehand, however many.
+    Plain groups of any depth are opened in one pass, then parentheses around parentheses; selects,
+    CASEs and what holds them take one round per depth.
     """
-    text = _undoubled(text)
-    rounds = F.regexp_count(text, F.lit(rf"(?i) (?:\(|case|{_INNER_CLAUSE})(?= )"))
+    return _let(_plain_opened(text), lambda opened: _let(_undoubled(opened), _looped))
+
+
+def _looped(text: Column) -> Column:
+    """The same, by rounds.
+
+    Each round takes out one depth of nesting, so there are at most as many rounds as words that open
+    or close, whichever are fewer, and as clause words. The first round that finds nothing to do closes
+    the state; later ones return it as it is. Rounds come in dozens, as each copies its state.
+    """
+    def count(words: str) -> Column:
+        return F.regexp_count(text, F.lit(rf"(?i) (?:{words})(?= )"))
+
+    rounds = F.least(count(r"\(|case"), count(r"\)|end")) + count(_INNER_CLAUSE)
+    dozens = F.ceil(rounds / 12).cast("int")
     nothing = _no_names()
 
     def state_of(text: Column, before: Column, selects: Column, cases: Column, is_open: bool) -> Column:
@@ -339,19 +459,19 @@ def flattened(text: Column) -> Column:
 
     def unnest(state: Column, _: Column) -> Column:
         settled = (state.text == state.before) | ~state.text.rlike(r"(?i) (?:\(|case) ")
-        found = lambda pattern, group: F.regexp_extract_all(
-            state.text, F.lit("(?i)" + pattern), F.lit(group)
+        cases = F.regexp_extract_all(state.text, F.lit("(?i)" + _CASE), F.lit(0))
+        # A subselect whose CASEs go in this round goes in it, too.
+        uncased = lambda text: state_of(
+            _tidied(_unwrapped(text)),
+            state.text,
+            F.concat(state.selects, F.regexp_extract_all(text, F.lit("(?i)" + _SUBSELECT), F.lit(1))),
+            F.concat(state.cases, cases),
+            True,
         )
         return (
             F.when(~state.open, state)
             .when(settled, state_of(state.text, state.text, state.selects, state.cases, False))
-            .otherwise(state_of(
-                _tidied(_unwrapped(state.text)),
-                state.text,
-                F.concat(state.selects, found(_SUBSELECT, 1)),
-                F.concat(state.cases, found(_CASE, 0)),
-                True,
-            ))
+            .otherwise(_let(_replace(state.text, (_CASE, " ! :case")), uncased))
         )
 
     def finish(state: Column) -> Column:
@@ -360,8 +480,14 @@ def flattened(text: Column) -> Column:
             F.concat(F.lit(" "), selects, F.lit(" ")).alias("selects"), state.cases.alias("cases")
         )
 
+    def dozen(state: Column, _: Column) -> Column:
+        size = F.least(rounds, F.lit(12))
+        return F.when(~state.open, state).otherwise(
+            F.aggregate(F.array_repeat(F.lit(0), size), state, unnest)
+        )
+
     start = state_of(_tidied(text), F.lit(""), nothing, nothing, True)
-    return F.aggregate(F.array_repeat(F.lit(0), rounds), start, unnest, finish)
+    return F.aggregate(F.array_repeat(F.lit(0), dozens), start, dozen, finish)
 
 
 _TABLES_END = "where|having|group|order|limit|procedure|set|union|select|from|;"

@@ -5,6 +5,7 @@ still raised here, e.g. in nested AND/OR lists, after decimals and after CAST co
 subselect stands for its select list, so `id = (select max(id) from u)` compares like with like.
 """
 
+import random
 import time
 
 import pytest
@@ -99,6 +100,13 @@ CASES = [
     (W + "pwd in ('','','','a')", ""),
     (W + "a in (1,1,1,1,'x','x','x')", ""),
     ("select 5,5,5,5,5;", ""), ("select 'a','b','c' x, 'd' from users;", "S"),
+    # a subselect with a CASE
+    (W + "a=(select case b when 1 then 2 end from users where 1=1)", "ST"),
+    (W + "a in (select b from u where c=(select case when d=1 then 2 else 3 end from users))", "S"),
+    # a subselect with a subselect
+    (W + "a in (select x from (select y from v) z where 1=1)", "T"),
+    (W + "a in (select x from (select y from v) z, users)", "S"),
+    (W + "a in (select x from v where (select y from users where b=c) = 5)", "S"),
     # functions
     ("select mid(a,1,2) from t", "B"),
     ("select mid from t", ""),
@@ -171,6 +179,115 @@ def test_lists_of_any_length_have_one_shape(spark, rules):
         assert rows.select(S.shape(F.col("counted"))).distinct().count() == 1
 
 
+def _nested(r, depth):
+    """A random expression of the outline's words: groups, subselects, CASEs and lists."""
+    if depth <= 0 or r.random() < 0.25:
+        return r.choice([":a", ":b", "0", '"', "'", ":a = 0", "0 = 0", "case :a when 0 then :b end", "( )", ":pwd = '"])
+    kind = r.random()
+    within = lambda: _nested(r, depth - 1)
+    if kind < 0.5:
+        return "( " + r.choice([" + ", " and ", " or "]).join(within() for _ in range(r.randint(1, 3))) + " )"
+    if kind < 0.6:
+        table = r.choice([":t", ":t , :u", f"( select {within()} from :v ) :x"])
+        return f"( select {within()} from {table} where {within()} )"
+    if kind < 0.67:
+        return f"case {within()} when {within()} then {within()} end"
+    return within() + " " + r.choice(["=", "and", "or", "+"]) + " " + within()
+
+
+def test_plain_groups_opened_in_one_pass_raise_the_flags_of_the_rounds(spark):
+    r = random.Random(11)
+    texts = [f" select {_nested(r, 3)} from :t where {_nested(r, 8)} " for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts if len(t) < 3000], "t string").repartition(8)
+
+    def derived(name, flat):
+        compared = S.comparisons(flat.selects, flat.cases)
+        return F.struct(
+            S.has_tautology(compared).alias("tautology"), S.has_empty_password(compared).alias("password"),
+            F.array_sort(F.array_distinct(S.tables(flat.selects))).alias("tables"),
+        ).alias(name)
+
+    flat = df.select("t", S._plain_opened(F.col("t")).alias("opened"), S.flattened(F.col("t")).alias("at_once"),
+                     S._looped(F.col("t")).alias("looped"))
+    rows = flat.select("t", "opened", derived("got", F.col("at_once")), derived("want", F.col("looped"))).collect()
+    assert sum(row.opened != row.t for row in rows) > 500
+    wrong = sorted((row for row in rows if row.got != row.want), key=lambda row: len(row.t))
+    assert wrong[:3] == []
+
+
+def test_parentheses_with_a_plain_group_around_go(spark):
+    pad = " ( x )" * 16
+    cases = [
+        (" ( a ( b ) ) ", " ( a b ) "), (" ( ( select ( a ( b ) ) ) ) ", " ( ( select ( a b ) ) ) "),
+        (" ( a ( b ", " ( a ( b "), (" ( a ( b ) ", " ( a ( b ) "), (" a ) ( ( b ) ) ) ", " a ) ( b ) ) "),
+        (" ( ( a ) case ( ( ) ) ) ", " ( ( a ) case ( ) ) "), (" ( ( a ) ( b ) ) ) ( ", " ( a b ) ) ( "),
+    ]
+    given = [(a + pad.lstrip() + " ", b + pad.lstrip() + " ") for a, b in cases] + [(a, a) for a, _ in cases]
+    df = spark.createDataFrame([*given, ("", "")], "given string, want string")
+    rows = df.select("want", S._plain_opened(F.col("given")).alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == []
+
+
+def test_a_hundred_thousand_levels(spark, rules):
+    n = 100_000
+    cases = [(W + "(a=1 and " * n + "1=1" + ")" * n, "T"), (W + "(a=1 and " * n + "b=c" + ")" * n, ""),
+             (W + "(a=1 and " * n + "users=c", ""), (W + "a in (" + "(1,'x')," * n + "(2,'y'))", "")]
+    start = time.perf_counter()
+    got = flagged(spark, cases, rules, with_signals)
+    assert all(want == flags for (_, want), flags in got.items()), [(q[:60], w, f) for (q, w), f in got.items()]
+    # One round per level would read some 100 GB for each of them.
+    assert time.perf_counter() - start < 90
+
+
+REPEATED = {
+    "tuples": lambda n: f"(a, b) in ({', '.join(['(1, 2)'] * n)})",
+    "mixed tuples": lambda n: "(a, b) in (" + ", ".join(["(1, 'x')"] * n) + ")",
+    "mixed list": lambda n: "a in (" + ", ".join(["1, 'x'"] * n) + ")",
+    "or chain": lambda n: " or ".join(f"a = {i}" for i in range(n)),
+    "chain of groups": lambda n: " or ".join(f"(a = {i} and b > '{i}x')" for i in range(n)),
+    "and chain": lambda n: " and ".join(f"a <> {i}" for i in range(n)),
+    "chain of lists": lambda n: " or ".join(f"a in ({', '.join(['7'] * (i + 2))})" for i in range(n)),
+}
+
+
+@pytest.mark.parametrize("kind", REPEATED)
+def test_repeated_units_have_one_shape(spark, kind):
+    texts = [(W + REPEATED[kind](n) + " order by a",) for n in range(3, 40)]
+    rows = with_tokens(spark.createDataFrame(texts, "query string"))
+    assert rows.select(S.shape(F.col("counted"))).distinct().count() == 1
+
+
+def test_flags_by_shape_are_those_of_the_statement(spark, rules):
+    r = random.Random(3)
+
+    def predicate():
+        atom = lambda: r.choice(["a", "pwd", "b", "1", "'x'", "''", "f(a)"])
+        items = lambda: ", ".join(r.choice(["1", "'x'", "''"]) for _ in range(r.randint(1, 7)))
+        tuples = lambda: ", ".join([f"({items()})"] * r.randint(1, 4))
+        return r.choice([
+            f"{atom()} = {atom()}", f"{atom()} in ({items()})", f"(a, b) in ({tuples()}, ({items()}))",
+            f"a between {atom()} and {atom()}", f"not {atom()}", "a = 1", "a = 1",
+            f"b = (select {items()} from u where {atom()} = {atom()})",
+            f"({atom()} = {atom()} {r.choice(['and', 'or'])} b = 2)",
+        ])
+
+    def chain():
+        parts = [p for _ in range(r.randint(1, 4)) for p in [predicate()] * r.choice([1, 1, 3, 4])]
+        return "".join(f"{p} {r.choice(['or', 'or', 'and'])} " for p in parts) + predicate()
+
+    tails = ["", " group by a having " , " order by 1, 2", " union select 1, 1, 'x', 1 from users where "]
+    texts = []
+    for _ in range(4000):
+        tail = r.choice(tails)
+        texts.append((f"select {r.choice(['*', '1, 1, 1', 'a, 1, 2, 3'])} from t where {chain()}{tail}"
+                      + (chain() if tail.endswith(" ") else ""), "mysql"))
+    df = spark.createDataFrame(texts, "query string, db_type string").distinct().repartition(8)
+    plain, by_shape = with_signals(df, rules), with_signals_by_outline(df, rules)
+    assert plain.exceptAll(by_shape).collect() == []
+    shapes = with_tokens(df).select(S.shape(F.col("counted"))).distinct().count()
+    assert shapes < with_tokens(df).select("counted").distinct().count()
+
+
 def test_outline_hides_literals(spark):
     texts = [("select a from t where b = 'x y' and c=5",), ("select a from t where b =\t'z' and c=0x1f",)]
     outlines = spark.createDataFrame(texts, "query string").select(S.outline(S.tokens(F.col("query"))))
