@@ -16,6 +16,7 @@ from stmtwatch.operators import learning as le
 from stmtwatch.operators import policy as po
 from stmtwatch.operators import privileged as pr
 from stmtwatch.operators import risk as rk
+from stmtwatch.operators import rule_index as ri
 from stmtwatch.operators import session as se
 from stmtwatch.plans import demo
 from stmtwatch.plans.scoring import ScoringContext, prepare, score_log
@@ -172,6 +173,19 @@ def rule_matches(spark, sf_dir):
     )
 
 
+@query
+def indexed_rules(spark, sf_dir):
+    """Statements that name the key of a customer, by market segment: one rule per customer."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rules = customers.select(
+        F.when(F.col("c_custkey") % 2 == 0, "mysql").otherwise("pgsql").alias("dialect"),
+        F.col("c_mktsegment").alias("category"),
+        F.format_string(r"[=(,] *%s\b", F.col("c_custkey").cast("string")).alias("pattern"),
+    )
+    hits = ri.with_rule_hits(statements(spark, sf_dir), rules, text="query")
+    return hits.filter(F.size("rule_hits") > 0).select("seq", F.array_join("rule_hits", ",").alias("segments"))
+
+
 # --- sinks --------------------------------------------------------------------------------------
 
 

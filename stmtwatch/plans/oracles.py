@@ -247,6 +247,13 @@ select proxy_id, perm, db_name, query from stored where perm > 0 and length(quer
         f"select db_type, '{c}' as category from patterned where {_rules(c)}"
         for c in ("alter", "block", "create", "drop", "info")
     ) + ") select db_type, category, count(*) as n from hits group by all"),
+    "indexed_rules": _chained(r"""
+, numbers as (
+ select seq, db_type, unnest(regexp_extract_all(query, '[=(,] *([0-9]+)\b', 1)) as number from spoken where query <> '')
+select seq, string_agg(distinct c_mktsegment, ',' order by c_mktsegment) as segments from numbers
+join customer on number = cast(c_custkey as varchar) and db_type = case when c_custkey % 2 = 0 then 'mysql' else 'pgsql' end
+group by seq
+"""),
     "write_alerts": _ALERTS,
     "upsert_alert_groups": _GROUPS,
     "upsert_allowlist": _USABLE_LIST,

@@ -232,7 +232,7 @@ DEFAULT_RULES = [
     for pattern in map(str.strip, lines.strip().splitlines())
 ]
 
-_ANCHORED = ("true constants", "bruteforce functions")
+ANCHORED = ("true constants", "bruteforce functions")
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
@@ -266,7 +266,7 @@ def combined_rules(rules: DataFrame) -> DataFrame:
             "dialect",
             "category",
             "piece",
-            F.when(F.col("category").isin(*_ANCHORED), F.concat(F.lit("^("), "alternation", F.lit(")$")))
+            F.when(F.col("category").isin(*ANCHORED), F.concat(F.lit("^("), "alternation", F.lit(")$")))
             .when(F.col("category") == "sensitive tables", F.concat(F.lit("("), "alternation", F.lit(")")))
             .otherwise(F.col("alternation"))
             .alias("regex"),
