@@ -54,16 +54,20 @@ def lookup_join(
     keys: list[str],
     max_bytes: int = MAX_BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
+    known_bytes: int | None = None,
 ) -> DataFrame:
     """`left` joined with `right`, whose keys are unique; every row of `left` stays.
 
+    `known_bytes` is an upper bound of the size of `right` that was measured before; without it the
+    size is measured now, by a job.
+
     A right side measured to be small is broadcast and the log is not shuffled. Else the log is
     shuffled by key and salt: the rows of a hot key are dealt into pieces of about `hot_rows`, and
     its one right row is copied to each piece. Which keys are hot is counted once. Rows with a null
     key match nothing and are spread. A stream cannot be counted; there every key is dealt into
     STREAM_SALTS pieces.
     """
-    if fits_broadcast(right, max_bytes):
+    if fits_broadcast(right, max_bytes) if known_bytes is None else known_bytes <= max_bytes:
         return left.join(F.broadcast(right), keys, "left")
 
     row = F.monotonically_increasing_id()

@@ -53,12 +53,14 @@ def fallback_name(db_type: Column, db_name: Column) -> Column:
     )
 
 
-def resolve_policy(log: DataFrame, policies: DataFrame, endpoints: DataFrame) -> DataFrame:
+def resolve_policy(
+    log: DataFrame, policies: DataFrame, endpoints: DataFrame, known_bytes: int | None = None
+) -> DataFrame:
     """Add the policy that governs each row: `policy_kind`, `policy_proxy_id`, `policy_db_name`,
     `perms` and `status`.
 
     The policy of exactly this endpoint and database holds; else the system policy of the dialect;
-    else the built-in one.
+    else the built-in one. `known_bytes` is the size of `policies`, where it is known.
     """
     exact = user_policies(policy_catalog(policies, endpoints)).select(
         "proxy_id", "db_name", F.col("perms").alias("_perms"), F.col("status").alias("_status"),
@@ -75,7 +77,7 @@ def resolve_policy(log: DataFrame, policies: DataFrame, endpoints: DataFrame) ->
         "_system": fallback_name(F.col("db_type"), F.coalesce("db_name", F.lit(""))),
     })
     # `fallback` has at most one row per system policy, three in all.
-    joined = lookup_join(rows, exact, ["proxy_id", "db_name"]).join(
+    joined = lookup_join(rows, exact, ["proxy_id", "db_name"], known_bytes=known_bytes).join(
         F.broadcast(fallback), "_system", "left"
     )
     is_exact = F.col("_exact").isNotNull()

@@ -27,14 +27,19 @@ class ScoringContext:
     rules: CompiledRules
     weights: RiskWeights = field(default_factory=RiskWeights)
     enforce_block: bool = False
+    # Sizes of the tables that were measured before; else each job measures them.
+    policy_bytes: int | None = None
+    allowlist_bytes: int | None = None
 
 
 def prepare(log: DataFrame, context: ScoringContext) -> DataFrame:
     """Inspectable statements with pattern, policy and allowlist flag."""
     statements = inspectable(command_to_sql(log))
     patterned = computed_once(with_pattern(statements, out="_pattern"), pattern=F.col("_pattern"))
-    resolved = resolve_policy(patterned.drop("_pattern"), context.policies, context.endpoints)
-    return in_allowlist(resolved, context.allowlist)
+    resolved = resolve_policy(
+        patterned.drop("_pattern"), context.policies, context.endpoints, context.policy_bytes
+    )
+    return in_allowlist(resolved, context.allowlist, known_bytes=context.allowlist_bytes)
 
 
 def judge(flagged: DataFrame, context: ScoringContext, deduplicate: bool = False) -> DataFrame:

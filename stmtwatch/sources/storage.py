@@ -123,6 +123,19 @@ def scratch_folder(spark: SparkSession) -> str:
 # replaces not. Their files stay until `vacuum`, so that readers that have listed them can go on.
 
 
+def contents(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """The files of a table with their lengths and times. Files are never changed in place, so a table
+    whose contents are the same holds the same rows."""
+    files, target = _path(spark, path)
+    if not files.exists(target):
+        return ()
+    found, listed = [], files.listFiles(target, True)
+    while listed.hasNext():
+        status = listed.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def commit(spark: SparkSession, commits: str, stream: str, batch_id: int) -> None:
     """From now on the parts of this micro-batch, and of all earlier ones of the stream, count."""
     files, target = _path(spark, f"{commits}/stream={stream}/version={batch_id}")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,6 +21,7 @@ from stmtwatch.sources.rules import CompiledRules
 from stmtwatch.sources.sinks import upsert_alert_groups, upsert_allowlist, write_alerts
 from stmtwatch.sources.storage import (
     commit,
+    contents,
     drop_part,
     drop_versions_before,
     latest_version,
@@ -31,6 +32,7 @@ from stmtwatch.sources.storage import (
     write_version,
 )
 from stmtwatch.sources.tables import conform, read_allowlist, read_endpoints, read_policies
+from stmtwatch.streaming.snapshots import Snapshots, parts_version
 
 # Fixed value: how often policies and allowlist are looked at again.
 REFRESH = "5 seconds"
@@ -129,21 +131,39 @@ def score_batch(
 ) -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch, for `foreachBatch`.
 
-    Policies and allowlist are read anew, so what one micro-batch learns holds from the next one
-    on. All it writes goes to parts named after the stream and its number: a repeated micro-batch
+    Policies and allowlist are read anew if they have changed, so what one micro-batch learns holds
+    from the next one on. All it writes goes to parts named after the stream and its number: a repeated micro-batch
     overwrites them, another stream over the same tables does not. Empty parts are not written. With
     `tables.commits` nothing of a micro-batch counts before all of it is written.
     """
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        context = ScoringContext(
-            policies=expire_learning(read_policies(spark, tables.policies), now),
-            endpoints=read_endpoints(spark, tables.endpoints),
-            allowlist=read_allowlist(spark, tables.allowlist, stream_part(batch_id, stream), tables.commits),
+    snapshots = Snapshots()
+
+    def known(spark: SparkSession, own: str) -> ScoringContext:
+        at = lambda path: contents(spark, path)
+        policies = snapshots.read(
+            "policies", at(tables.policies), lambda: read_policies(spark, tables.policies)
+        )
+        endpoints = snapshots.read(
+            "endpoints", at(tables.endpoints), lambda: read_endpoints(spark, tables.endpoints)
+        )
+        listed = snapshots.read(
+            "allowlist", parts_version(spark, tables.allowlist, own, tables.commits),
+            lambda: read_allowlist(spark, tables.allowlist, own, tables.commits),
+        )
+        return ScoringContext(
+            policies=expire_learning(policies.table, now),
+            endpoints=endpoints.table,
+            allowlist=listed.table,
             rules=rules,
             weights=weights,
+            policy_bytes=policies.bytes,
+            allowlist_bytes=listed.bytes,
         )
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        context = known(spark, stream_part(batch_id, stream))
         if tables.sessions is not None:
             batch = session_stream(batch, batch_id, tables.sessions, stream, tables.session_idle)
         # Statements that neither alert nor teach are dropped before anything is kept.
