@@ -33,7 +33,7 @@ def fits_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     return measured_bytes(df) <= max_bytes
 
 
-def _hot_keys(left: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
+def hot_keys(left: DataFrame, keys: list[str], hot_rows: int) -> DataFrame:
     """(_hash, _salts) of the keys with many rows: into how many pieces their rows are dealt.
 
     Keys are counted by a hash, so texts do not move. A key is hot from a millionth of the rows on
@@ -78,7 +78,7 @@ def lookup_join(
         salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(STREAM_SALTS)).cast("int"))
         copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SALTS - 1))))
     else:
-        hot = F.broadcast(_hot_keys(left, keys, hot_rows))
+        hot = F.broadcast(hot_keys(left, keys, hot_rows))
         marked = left.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left")
         salt = F.when(~whole, row % NULL_SALTS).otherwise(row % F.coalesce("_salts", F.lit(1)))
         salted = marked.withColumn("_salt", salt.cast("int")).drop("_hash", "_salts")

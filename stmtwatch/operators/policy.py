@@ -111,28 +111,31 @@ def decode_perms(df: DataFrame, col: str = "perms") -> DataFrame:
     return df.withColumns({f"can_{name}": can(F.col(col), name) for name in PERM_BITS})
 
 
-def _allowlist_keys(allowlist: DataFrame) -> DataFrame:
+LIST_KEYS = ["_list_proxy", "_list_db", "_list_pattern"]
+
+
+def allowlist_keys(allowlist: DataFrame) -> DataFrame:
     return allowlist.select(
-        F.col("proxy_id").alias("_list_proxy"),
+        F.col("proxy_id").cast("int").alias("_list_proxy"),
         F.col("db_name").alias("_list_db"),
         F.col("query").alias("_list_pattern"),
     ).distinct()
 
 
-def in_allowlist(resolved: DataFrame, allowlist: DataFrame, **join_options) -> DataFrame:
-    """Add `listed`: is the pattern on the list of the policy that governs the row?
-
-    The built-in policy has no list.
-    """
+def with_list_keys(resolved: DataFrame) -> DataFrame:
+    """Add the keys by which a row is looked up in the allowlist. The built-in policy has no list."""
     stored = F.col("policy_kind") != "builtin"
-    keyed = resolved.withColumns({
-        "_list_proxy": F.when(stored, F.col("policy_proxy_id")),
+    return resolved.withColumns({
+        "_list_proxy": F.when(stored, F.col("policy_proxy_id")).cast("int"),
         "_list_db": F.when(stored, F.col("policy_db_name")),
         "_list_pattern": F.col("pattern"),
     })
-    keys = ["_list_proxy", "_list_db", "_list_pattern"]
-    marked = _allowlist_keys(allowlist).withColumn("_listed", F.lit(True))
-    joined = lookup_join(keyed, marked, keys, **join_options)
+
+
+def in_allowlist(resolved: DataFrame, allowlist: DataFrame, **join_options) -> DataFrame:
+    """Add `listed`: is the pattern on the list of the policy that governs the row?"""
+    marked = allowlist_keys(allowlist).withColumn("_listed", F.lit(True))
+    joined = lookup_join(with_list_keys(resolved), marked, LIST_KEYS, **join_options)
     return joined.select(
         *[c for c in resolved.columns if c != "listed"],
         F.coalesce("_listed", F.lit(False)).alias("listed"),

@@ -12,6 +12,7 @@ from stmtwatch.config import RiskWeights
 from stmtwatch.functions import fingerprint as fp
 from stmtwatch.functions import signals as S
 from stmtwatch.operators import alerts as al
+from stmtwatch.operators import copartitioned as co
 from stmtwatch.operators import learning as le
 from stmtwatch.operators import policy as po
 from stmtwatch.operators import privileged as pr
@@ -28,6 +29,8 @@ from stmtwatch.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# Of the stored logs in the queries here. For a log of 10 TB it is 65,536: see `buckets_for`.
+BUCKETS = 8
 
 
 def query(build: Query) -> Query:
@@ -488,6 +491,24 @@ def allowlist_misses(spark, sf_dir):
     return po.allowlist_misses(flagged).select("seq", "policy_db_name", "pattern")
 
 
+@query
+def allowlist_copartitioned(spark, sf_dir):
+    """Log and allowlist stored in buckets of the same keys; the hottest patterns are kept apart."""
+    resolved = spark.read.parquet(_stored(resolved_log(spark, sf_dir)))
+    log = co.store_resolved(resolved, scratch(spark), BUCKETS, hot_rows=100)
+    listed = co.store_allowlist(context(spark).allowlist, scratch(spark), BUCKETS)
+    return co.in_stored_allowlist(log, listed).select("seq", "policy_db_name", "pattern", "listed")
+
+
+@query
+def alert_group_copartitioned(spark, sf_dir):
+    """Alerts and known groups stored in buckets of the same keys."""
+    raised = spark.read.parquet(_stored(al.alerts(scored_log(spark, sf_dir))))
+    alerts = co.store_alerts(raised, scratch(spark), BUCKETS, hot_rows=100)
+    known = co.store_groups(al.alert_groups(raised.filter("risk >= 45")), scratch(spark), BUCKETS)
+    return co.match_stored_groups(alerts, known).select("proxy_id", "db_name", "query", "risk", "known_group")
+
+
 @query
 def match_alert_group(spark, sf_dir):
     raised = al.alerts(scored_log(spark, sf_dir))

@@ -319,6 +319,12 @@ from marked group by conn_id having carried_user <> '' or carried_db <> ''
     ),
     "allowlist_hits": _chained("select seq, policy_db_name, pattern from flagged where listed"),
     "allowlist_misses": _chained("select seq, policy_db_name, pattern from flagged where not listed"),
+    "allowlist_copartitioned": _chained("select seq, policy_db_name, pattern, listed from flagged"),
+    "alert_group_copartitioned": _chained("""
+select a.proxy_id, a.db_name, a.query, a.risk, exists (select 1 from alert_rows o where o.risk >= 45
+ and o.proxy_id = a.proxy_id and o.db_name = a.db_name and o.pattern = a.pattern) as known_group
+from alert_rows a
+"""),
     "match_alert_group": _chained("""
 select a.proxy_id, a.db_name, a.pattern, exists (select 1 from alert_rows o where o.risk >= 45
  and o.proxy_id = a.proxy_id and o.db_name = a.db_name and o.pattern = a.pattern) as known_group, count(*) as n
