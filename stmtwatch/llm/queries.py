@@ -94,7 +94,7 @@ def op6_warc(spark, sf_dir):
 @query
 def op7_fertility(spark, sf_dir):
     rules = fertility.quality_rules(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
-    return rules.drop("left_bands")
+    return rules.withColumn("left_bands", F.array_join("left_bands", ","))
 
 
 @query
@@ -109,7 +109,8 @@ def op9_pii(spark, sf_dir):
     spans = pii.with_spans(docs, model=pii.fit(docs))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in pii.BASE_KINDS]
     return spans.select(
-        "doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans")
+        "doc_id", *counts, F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

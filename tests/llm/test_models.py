@@ -128,6 +128,61 @@ def test_fertility(spark, large):
     assert got[2].script == "other" and got[2].byte_share > 0.6 and got[3].base_failed
 
 
+def test_fertility_against_plain_python(spark, large):
+    """Measures, quartile fences and verdicts, computed a second time without Spark."""
+    import math
+    from collections import Counter, defaultdict
+
+    import sentencepiece
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet(f"{large}/documents.parquet")
+    texts = {r.doc_id: r for r in docs.select("doc_id", "text", "lang").collect()}
+    got = fertility.quality_rules(docs, MODEL, min_texts=20).collect()
+    assert len(got) == len(texts)
+    groups = defaultdict(list)
+    for r in got:
+        text, ids = texts[r.doc_id].text or "", pieces.encode(texts[r.doc_id].text or "")
+        fallback = [i for i in ids if pieces.is_byte(i) and pieces.id_to_piece(i) not in ("<0x09>", "<0x0A>", "<0x0D>")]
+        counts = Counter(ids).values()
+        entropy = -sum(n / len(ids) * math.log(n / len(ids)) for n in counts)
+        assert r.n_tokens == len(ids)
+        if len(ids) > 1:
+            assert r.chars_per_token == pytest.approx(len(text) / len(ids))
+            assert r.byte_share == pytest.approx(len(fallback) / len(ids))
+            assert r.entropy == pytest.approx(entropy / math.log(min(len(ids), fertility.ENTROPY_TOKENS)))
+        if not r.base_failed:
+            language = texts[r.doc_id].lang or r.script
+            groups[language, int(math.log2(r.n_tokens))].append(r)
+            groups[language].append(r)
+    fences = {}
+    for key, rows in groups.items():
+        if len(rows) >= 20:
+            for m in fertility.MEASURES:
+                values = sorted(r[m] for r in rows)
+                a, b = (values[math.ceil(len(values) * q) - 1] for q in (0.25, 0.75))
+                fences[key, m] = a - fertility.SPREAD * (b - a), b + fertility.SPREAD * (b - a)
+    for r in got:
+        language = texts[r.doc_id].lang or r.script
+        key = (language, int(math.log2(max(1, r.n_tokens))))
+        key = key if (key, "entropy") in fences else language
+        low = {m: fences.get((key, m), (-math.inf, math.inf)) for m in fertility.MEASURES}
+        expected = [
+            *["low_chars_per_token"] * (r.chars_per_token < low["chars_per_token"][0] - 1e-12),
+            *["high_chars_per_token"] * (r.chars_per_token > low["chars_per_token"][1] + 1e-12),
+            *["high_byte_share"] * (r.byte_share > low["byte_share"][1] + 1e-12),
+            *["low_entropy"] * (r.entropy < low["entropy"][0] - 1e-12),
+        ]
+        assert [b for b in r.left_bands if "_" in b and b.split("_")[0] in ("low", "high")] == expected, (r, low)
+        assert r.kept == (not r.base_failed and not r.left_bands)
+
+
+def test_learned_bands_tell_bad_texts_from_good_ones(spark, large):
+    rows = queries.op7_fertility(spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").filter("not base_failed")
+    share = {r.quality: r.share for r in rows.groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("share")).collect()}
+    assert share[1] < 0.005 and share[0] > 0.3, share
+
+
 def test_fertility_of_odd_tables(spark):
     rows = fertility.quality_rules(odd(spark), MODEL).collect()
     assert len(rows) == len(ODD) and not any(r.kept for r in rows if r.n_words < 50)
