@@ -65,3 +65,21 @@ def test_op1(spark, sf_dir, texts):
         targets[source] = r.target
     assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
     assert all(targets[s] <= 2 * sizes[s] + 1e-6 and abs(taken[s] - targets[s]) <= 0.5 for s in sizes)
+
+
+def test_op9(spark, sf_dir):
+    """Base columns by the patterns as given; all spans start with the base ones."""
+    from test_pii import base
+
+    whole = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    rows = QUERIES["op9_pii"](spark, sf_dir).collect()
+    assert len(rows) == len(whole)
+    for row in rows:
+        spans = base(whole[row.doc_id])
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert row.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [
+            sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")
+        ]
+        assert row.spans == listed or row.spans.startswith(f"{listed}," if listed else "")
+        assert row.n_spans == (len(row.spans.split(",")) if row.spans else 0)
