@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from stmtwatch.operators.rule_index import required_grams, with_rule_hits
+from stmtwatch.operators.rule_index import _held, required_grams, required_keys, rule_index, with_rule_hits
 from stmtwatch.sources import rules as ru
 
 SPECIAL = [
@@ -91,3 +91,38 @@ def test_a_hundred_thousand_rules(spark):
     print(f"{few:.1f} s with 100 rules, {many:.1f} s with 100,000")
     assert many < 4 * few + 5
     log.unpersist()
+
+
+def test_texts_meet_few_rules_however_many_there_are(spark):
+    """Three letters are shared by ever more rules; the rules that a text is run on do not grow."""
+    texts = spark.range(3000).select(F.lit("mysql").alias("dialect"), F.format_string("get a=%d or b", F.col("id") + 1000).alias("_text"))
+    for n in (1000, 9000):
+        rules = spark.range(n).select(
+            F.lit("mysql").alias("dialect"), F.lit("number").alias("category"), F.format_string(r"[=(] *%d\b", F.col("id") + 1000).alias("pattern")
+        )
+        index = rule_index(rules, texts, "_text").persist()
+        assert index.filter("key is null").count() == 0
+        assert _held(texts, index, "_text").join(index, ["dialect", "key"]).count() <= 3000
+
+
+def test_required_keys(spark):
+    cases = [
+        (r"=1234\b", "1234", True), (r"=1234\b", "234\x01", True), (r"=1234\\\\b", "1234", True), (r"=1234\\\\b", "1234\x01", False),
+        (r"ab1234\b?", "ab1234\x01", False), ("drop \u212Aeys here", "eys here", True), ("end \x01", "end\x01", False),
+        (r"ab  \bcd", "ab  \x01", False), ("x" * 17, "x" * 17, False), ("x" * 17, "x" * 12, True),
+    ]
+    rows = spark.createDataFrame(cases, "rule string, key string, want boolean")
+    got = rows.withColumn("got", F.array_contains(required_keys(F.col("rule")), F.col("key"))).filter("got <> want").collect()
+    assert got == []
+
+
+@pytest.mark.parametrize("options", [{}, {"max_bytes": 0, "hot_rows": 2}])
+def test_ends_of_words(spark, options):
+    rules = [("mysql", f"rule {i}", p) for i, p in enumerate([
+        r"user\b", r"long_user_name_x\b", r"drop long tables", r"abcdefghijklmnopqrst\b", r"\bsome\b", "one two three four five six",
+    ])]
+    texts = [
+        "user", "users", "user s", "user\u2014", "userk", "long_user_name_x", "long_user_name_xy", "a long_user_name_x!",
+        "Drop Long Tables", "drop long table", "abcdefghijklmnopqrst", "abcdefghijklmnopqrstu", "awesome", "some", "one two three four five six",
+    ]
+    _check(spark, rules, [(i, "mysql", t, "", "") for i, t in enumerate(texts)], **options)
