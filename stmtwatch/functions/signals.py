@@ -168,6 +168,31 @@ def shape(counted: Column) -> Column:
     )
 
 
+# A number that stands alone: no word, other number or literal begins or goes on with it.
+_LONE_NUMBER = r"(?<=[ ,(=<>+\-*/])[0-9]++(?:\.[0-9]++)?+(?![0-9A-Za-z_.])"
+_TEXT = "(?:(')[^']++'|(\")[^\"]++\")"
+_BIT_LITERAL = rf"[bB]{_WS}*+'"
+
+
+def skeleton(query: Column) -> Column:
+    """A statement whose lone numbers are all 1 and whose text literals are all `x`. It has the same
+    pattern and the same flags, and takes a fraction of their time to find.
+
+    Which digits a number, a literal or a comment has is of no account to either. A name in backticks
+    is, so statements with one stay as they are. Text literals stay where it takes more than a look to
+    tell where they end, or whether they are empty or a number.
+    """
+    def has(*marks: str) -> Column:
+        found = F.lit(False)
+        for mark in marks:
+            found = found | F.contains(query, F.lit(mark))
+        return found
+
+    plain = has("'", '"') & ~has("\\", "--", "#", "/*", "''", '""') & ~query.rlike(_BIT_LITERAL)
+    unquoted = F.when(plain, F.regexp_replace(query, _TEXT, "$1$2x$1$2")).otherwise(query)
+    return F.when(has("`"), query).otherwise(F.regexp_replace(unquoted, _LONE_NUMBER, "1"))
+
+
 def verb(outlined: Column) -> Column:
     return F.lower(F.regexp_extract(outlined, r"^(?: #)*+ ([^# ]\S*)", 1))
 

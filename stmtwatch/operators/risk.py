@@ -90,36 +90,50 @@ def with_signals(
     return flagged.withColumn("has_separator", separator).select(*df.columns, *S.FLAGS)
 
 
-def with_signals_by_outline(
-    df: DataFrame, rules: CompiledRules, only: Column | None = None, col: str = "query"
-) -> DataFrame:
-    """The same flags, but each distinct shape is analysed once and its flags are joined back.
+def _flags_by_shape(df: DataFrame, rules: CompiledRules, col: str, path: str) -> DataFrame:
+    """The flags of each statement of a small table, of which each distinct shape is analysed once.
 
     A shape is the part of the outline that counts, with lists of equal constants shortened: lists
-    and multi-row inserts of any length share one. Shapes are found by a partial aggregate, so one
-    that makes up a third of the log reaches the shuffle once per task. The analysed shapes are
-    written to the shared folder, which runs a job now; their size is measured there before they
-    are broadcast. The join has a hash in front of the text, which is compared only where it meets
-    its like.
+    and multi-row inserts of any length share one. The analysed shapes are written to `path`, which
+    runs a job now; their size is measured there before they are broadcast.
     """
     keys = ["db_type", "_shape_hash", "_shape"]
-    shape = S.shape(F.col("counted"))
-    rows = with_tokens(df, col, only).drop("outline", "verb")
-    rows = computed_once(rows.withColumn("_shape", shape), _shape=F.col("_shape"), counted=F.col("counted"))
+    rows = with_tokens(df, col).drop("outline", "verb")
+    rows = computed_once(rows.withColumn("_shape", S.shape(F.col("counted"))), _shape=F.col("_shape"), counted=F.col("counted"))
     rows = rows.withColumn("_shape_hash", F.xxhash64("_shape"))
     distinct = rows.select(*keys).filter(F.col("_shape").isNotNull()).distinct()
     shapes = distinct.withColumn("outline", F.col("_shape")).withColumn("counted", F.col("_shape"))
     flags = [f for f in S.FLAGS if f != "has_separator"]
-    path = scratch_folder(df.sparkSession)
     worded = shapes.withColumn("verb", S.verb(F.col("outline")))
     outline_flags(worded, rules).select(*keys, *flags).write.parquet(path)
-    analysed = df.sparkSession.read.parquet(path)
-    joined = lookup_join(rows, analysed, keys)
-    values = {f: F.coalesce(F.col(f), F.lit(False)) for f in flags}
+    joined = lookup_join(rows, df.sparkSession.read.parquet(path), keys)
     separator = F.coalesce(S.has_separator(F.col(col), F.col("counted")), F.lit(False))
-    return computed_once(joined, has_separator=separator).withColumns(values).select(
-        *df.columns, *S.FLAGS
-    )
+    return computed_once(joined, has_separator=separator).select(*df.columns, *S.FLAGS)
+
+
+def with_signals_by_outline(
+    df: DataFrame, rules: CompiledRules, only: Column | None = None, col: str = "query", folder: str | None = None
+) -> DataFrame:
+    """The same flags, but each distinct statement is analysed once and its flags are joined back.
+
+    Statements are alike first by their skeletons, which cost a row little, then by the shapes of these.
+    Skeletons are found by a partial aggregate, so one that makes up a third of the log reaches the
+    shuffle once per task. They and their flags are written to `folder`, by default a new one in the
+    shared folder, which runs jobs now; the size of the flags is measured there before they are
+    broadcast. The join has a hash in front of the text, which is compared only where it meets its like.
+    """
+    keys = ["_dialect", "_skeleton_hash", "_skeleton"]
+    skeleton = S.skeleton(F.col(col))
+    rows = computed_once(df, _skeleton=skeleton if only is None else F.when(only, skeleton)).withColumns({
+        "_dialect": F.coalesce("db_type", F.lit("")), "_skeleton_hash": F.xxhash64("_skeleton"),
+    })
+    folder, read = folder or scratch_folder(df.sparkSession), df.sparkSession.read.parquet
+    rows.select(*keys).filter(F.col("_skeleton").isNotNull()).distinct().write.parquet(f"{folder}/skeletons")
+    skeletons = read(f"{folder}/skeletons").withColumn("db_type", F.col("_dialect"))
+    flagged = _flags_by_shape(skeletons, rules, "_skeleton", f"{folder}/shapes")
+    flagged.select(*keys, *S.FLAGS).write.parquet(f"{folder}/flags")
+    joined = lookup_join(rows, read(f"{folder}/flags"), keys)
+    return joined.select(*df.columns, *[F.coalesce(F.col(f), F.lit(False)).alias(f) for f in S.FLAGS])
 
 
 def risk_score(weights: RiskWeights) -> Column:
