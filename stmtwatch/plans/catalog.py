@@ -57,7 +57,15 @@ def context(spark: SparkSession, **changes) -> ScoringContext:
 
 
 def scored_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_log(demo.query_log(spark, sf_dir), context(spark))
+    """The scored log. Its statements are analysed once by shape; `verdicts` analyses them row by row."""
+    scratch(spark)  # names the shared folder of a local session
+    return score_log(demo.query_log(spark, sf_dir), context(spark), deduplicate=True)
+
+
+def raised_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What groups are made of, of all alerts: scored once, however often it is read."""
+    raised = al.alerts(scored_log(spark, sf_dir))
+    return spark.read.parquet(_stored(raised.select(*al.GROUP_KEYS, "event_time", "risk", "status")))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,7 +455,7 @@ def reasons(spark, sf_dir):
 
 @query
 def verdicts(spark, sf_dir):
-    return scored_log(spark, sf_dir).select(
+    return score_log(demo.query_log(spark, sf_dir), context(spark)).select(
         "seq", "listed", "privileged", "risk", "allowed", "alert", "alert_level", "learn", "group_status"
     )
 
@@ -511,7 +519,7 @@ def alert_group_copartitioned(spark, sf_dir):
 
 @query
 def match_alert_group(spark, sf_dir):
-    raised = al.alerts(scored_log(spark, sf_dir))
+    raised = raised_groups(spark, sf_dir)
     old = al.alert_groups(raised.filter("risk >= 45"))
     matched = al.match_alert_group(raised, old)
     return matched.groupBy("proxy_id", "db_name", "pattern", "known_group").agg(
@@ -539,7 +547,7 @@ def alert_groups(spark, sf_dir):
 
 @query
 def merge_groups(spark, sf_dir):
-    raised = al.alerts(scored_log(spark, sf_dir))
+    raised = raised_groups(spark, sf_dir)
     old = al.alert_groups(raised.filter("risk >= 45"))
     new = al.alert_groups(raised.filter("risk < 45"))
     return naive(al.merge_groups(old, new).drop("agroupid"))
