@@ -199,7 +199,11 @@ def _complete(spark: SparkSession, folder: str) -> bool:
 
 def drop_part(spark: SparkSession, path: str, part: str) -> None:
     """Remove a part, as a repeated micro-batch does that has nothing to write any more."""
-    files, target = _path(spark, f"{path}/part={part}")
+    drop_folder(spark, f"{path}/part={part}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    files, target = _path(spark, path)
     if files.exists(target):
         files.delete(target, True)
 

@@ -22,9 +22,11 @@ from stmtwatch.sources.sinks import upsert_alert_groups, upsert_allowlist, write
 from stmtwatch.sources.storage import (
     commit,
     contents,
+    drop_folder,
     drop_part,
     drop_versions_before,
     latest_version,
+    scratch_folder,
     stream_name,
     stream_part,
     streams_of,
@@ -134,7 +136,8 @@ def score_batch(
     Policies and allowlist are read anew if they have changed, so what one micro-batch learns holds
     from the next one on. All it writes goes to parts named after the stream and its number: a repeated micro-batch
     overwrites them, another stream over the same tables does not. Empty parts are not written. With
-    `tables.commits` nothing of a micro-batch counts before all of it is written.
+    `tables.commits` nothing of a micro-batch counts before all of it is written. Statements of one
+    shape are analysed once; the table of their flags lasts as long as the micro-batch.
     """
 
     snapshots = Snapshots()
@@ -167,7 +170,9 @@ def score_batch(
         if tables.sessions is not None:
             batch = session_stream(batch, batch_id, tables.sessions, stream, tables.session_idle)
         # Statements that neither alert nor teach are dropped before anything is kept.
-        scored = score_log(batch, context).filter("alert or learn").persist(StorageLevel.MEMORY_AND_DISK)
+        flags = scratch_folder(spark)
+        scored = score_log(batch, context, deduplicate=True, folder=flags).filter("alert or learn")
+        scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             part, raised = stream_part(batch_id, stream), alerts(scored)
             # A repeated micro-batch may have less to write than it had the first time.
@@ -182,6 +187,7 @@ def score_batch(
                 commit(spark, tables.commits, stream, batch_id)
         finally:
             scored.unpersist()
+            drop_folder(spark, flags)
 
     return run
 
