@@ -39,12 +39,19 @@ from pyspark.sql import types as T
 from stmtwatch.llm.common import Scratch, attach, whole_text
 
 BROADCAST_PAIRS = 1_000_000
-# Bytes of text that are aligned together; texts are not cut.
-TOGETHER = 1 << 21
+# Characters of text that are aligned together, so few that their arrays stay in a core's cache; texts
+# are not cut.
+TOGETHER = 1 << 18
 # Ids of the second vocabulary are below 2^20.
 SHIFT = 20
 
-_LONG_RUN = re.compile(r"\S{300}|\s{300}")
+LONG_RUN = 300
+_LONG_BLANK = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
+def _long_run(text: str) -> bool:
+    """Is there a long run of characters without a blank, or of blanks?"""
+    return max(map(len, text.split()), default=0) >= LONG_RUN or _LONG_BLANK.search(text) is not None
 
 
 def _classes(of) -> np.ndarray:
@@ -78,7 +85,7 @@ class ByteLevel:
         self.odd = re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "\U00010000-\U0010ffff]")
 
     def encode(self, text: str) -> list[int]:
-        if (text.isascii() or not self.odd.search(text)) and not _LONG_RUN.search(text):
+        if (text.isascii() or not self.odd.search(text)) and not _long_run(text):
             return self.quick.encode_ordinary(text)
         if self.library is None:
             from tokenizers import Tokenizer
@@ -158,12 +165,13 @@ def aligned(a: list[list[int]], b: list[list[int]], size_a: np.ndarray, size_b:
     code[np.arange(len(ids_b)) + ends[group_b]] = 3 * ids_b + 2 * ends_group_b
     del text_a
 
-    pairs = (link_a << SHIFT) | link_b
-    order = np.lexsort((pairs, of))
-    of, pairs = of[order], pairs[order]
-    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (pairs[1:] != pairs[:-1])])) if len(of) else of
-    times = np.diff(np.concatenate([new, [len(of)]])) if len(of) else of
-    return groups, code, count_a + count_b, of[new], pairs[new], times
+    # Text and pair in one number: 37 bits for the pair here, the rest for the texts of a batch.
+    width = SHIFT + len(size_a).bit_length()
+    keys = np.sort((of << width) | (link_a << SHIFT) | link_b)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
+    times = np.diff(np.concatenate([new, [len(keys)]])) if len(keys) else keys
+    met = keys[new]
+    return groups, code, count_a + count_b, met >> width, met & ((1 << width) - 1), times
 
 
 class Texts:

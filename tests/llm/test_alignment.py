@@ -127,3 +127,12 @@ def test_a_chain_takes_few_rounds():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.align(docs, FILES, public.PATTERN).count() == 0
+
+
+def test_long_runs_are_told_without_a_search_from_every_place():
+    import re
+    import sys
+
+    blank = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+    texts = [f"{'a' * n}{b}{c * n}" for n in (150, 299, 300) for b in ("", "b", *blank) for c in ("x", "\u200b", *blank)] + ["", " "]
+    assert [alignment._long_run(t) for t in texts] == [bool(re.search(r"\S{300}|\s{300}", t)) for t in texts]
