@@ -59,7 +59,8 @@ class Tables:
 
 
 def score_stream(log: DataFrame, context: ScoringContext) -> DataFrame:
-    """Score each statement on arrival: stateless, joined with static tables."""
+    """Score each statement on arrival: stateless, joined with static tables. Of a streaming log alike
+    statements of an Arrow batch are scored as one."""
     return score_log(log, context)
 
 
